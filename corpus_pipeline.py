@@ -4,32 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kinlake import ship
 from kinlake.llm import packing, pfair, quality_rules, simhash, site_bayes
 from kinlake.llm.common import documents, materialise
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
+    ship(spark)
     return site_bayes.keep(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules, with thresholds learnt from these documents."""
+    ship(spark)
     return quality_rules.keep(docs)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest doc_id."""
+    ship(spark)
     return simhash.deduplicate(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The same documents, laid out so that a reader meets the sources at their target weights."""
+    ship(spark)
     return pfair.mixed(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents, placed into sequences."""
+    ship(spark)
     return packing.pack(docs)
 
 

@@ -135,7 +135,8 @@ def write(docs: DataFrame, folder: str | None = None, vocabulary_name: str = VOC
         fs, at = storage(folder)
         name = f"{uuid.uuid4().hex}.arrows"
         for batch in batches:
-            for p, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            parts = (batch.slice(k, 256) for k in range(0, batch.num_rows, 256))  # few texts at a time as Python strings
+            for p, doc_id, text in (row for x in parts for row in zip(*(c.to_pylist() for c in x.columns), strict=True)):
                 if writer is None:
                     fs.create_dir(at, recursive=True)
                     sink, part = fs.open_output_stream(f"{at}/{name}"), p

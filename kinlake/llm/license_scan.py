@@ -133,7 +133,7 @@ u AS (
   WHERE contains(trim(p[i]), chr(10))
 ),
 w AS (SELECT doc_id, unit, number, string_split(trim(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS words FROM u),
-b AS (SELECT doc_id, unit, number, list_distinct(list_transform(range(1, len(words)), i -> words[i] || ' ' || words[i + 1])) AS grams FROM w WHERE len(words) >= 2),
+b AS (SELECT doc_id, unit, number, list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS grams FROM w WHERE len(words) >= 2),
 d AS (
   SELECT doc_id, unit, number, license, k, 2.0::DOUBLE * len(list_intersect(b.grams, t.grams)) / (len(b.grams) + len(t.grams)) AS dice
   FROM b JOIN t ON len(b.grams) BETWEEN len(t.grams) * {threshold / (2 - threshold)} AND len(t.grams) / {threshold / (2 - threshold)}

@@ -41,12 +41,13 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary_name: str = VOC
         encode, end = encoder(vocabulary(vocabulary_name)), end_id.to_bytes(4, "little")
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encode(text or "") + end
-                n = len(ids) // 4
-                for at in range(0, n, capacity):
-                    k = min(capacity, n - at)
-                    out.append((doc_id, at, k, zlib.crc32(ids[4 * at : 4 * (at + k)]), n))
+            for part in (batch.slice(at, 256) for at in range(0, batch.num_rows, 256)):  # few texts at a time as Python strings
+                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    ids = encode(text or "") + end
+                    n = len(ids) // 4
+                    for at in range(0, n, capacity):
+                        k = min(capacity, n - at)
+                        out.append((doc_id, at, k, zlib.crc32(ids[4 * at : 4 * (at + k)]), n))
             cols = list(zip(*out, strict=True)) if out else [()] * 5
             names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens")
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)

@@ -22,7 +22,7 @@ MIN_GROUP = 200
 #: Fences lie this many interquartile ranges beyond the quartiles.
 REACH = 6.0
 #: Measure -> (spread that counts at least, as an interquartile range; whether low values are rejected too).
-MEASURES = {"symbols_per_word": (0.02, False), "dup_line_share": (0.04, False), "repeat_word_share": (0.02, False), "mean_word_length": (0.4, True)}
+MEASURES = {"symbols_per_word": (0.02, False), "dup_line_share": (0.06, False), "repeat_word_share": (0.034, False), "mean_word_length": (0.4, True)}
 #: Groups whose fences are broadcast; beyond, the engine joins by shuffle and splits skewed keys.
 BROADCAST_GROUPS = 100_000
 

@@ -13,9 +13,24 @@ from functools import lru_cache
 
 from kinlake.llm.common import WHITE
 
-_LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
-#: How many units a worker keeps (about 100 MB); beyond, the cache starts afresh, which costs time only.
-CACHE_UNITS = 400_000
+#: Letters that no normaliser splits, recomposes or folds to more than one.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+#: How many units a worker keeps (about 60 MB); beyond, the cache starts afresh, which costs time only.
+CACHE_UNITS = 250_000
+#: Longer units are rarely seen again, and are not kept.
+KEPT_LENGTH = 12
+
+_PURE = re.compile(f" ?[{_LETTERS}]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level BPE's printable letter for each byte: itself where printable, else the next code point from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {b: chr(b) if b in printable else chr(next(others)) for b in range(256)}
+
+
+_BYTES = _byte_letters()
 
 #: Byte-level BPE keeps a single leading space with the next pretoken; the last of several blanks too.
 _BYTE = re.compile(rf" ?[{_LETTERS}]+(?=[ \n.,;:!?)]|\Z)|[{WHITE}]+(?![^{WHITE}])| ?[^{WHITE}]+|[{WHITE}]+")
@@ -32,7 +47,9 @@ class CachedEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
-        self.find = (_BYTE if self.tokenizer.normalizer is None else _WORD).findall
+        self.model = self.tokenizer.model
+        self.lower = self.tokenizer.normalizer is not None
+        self.find = (_WORD if self.lower else _BYTE).findall
         self.units: dict[str, bytes] = {}
 
     def __call__(self, text: str) -> bytes:
@@ -40,15 +57,27 @@ class CachedEncoder:
         units = self.find(text)
         got = list(map(self.units.get, units))
         if None in got:
-            new = list({u for u, ids in zip(units, got, strict=True) if ids is None})
-            if len(self.units) + len(new) > CACHE_UNITS:
+            found = self._encoded(list({u for u, ids in zip(units, got, strict=True) if ids is None}))
+            got = [found[u] if ids is None else ids for u, ids in zip(units, got, strict=True)]
+            if len(self.units) + len(found) > CACHE_UNITS:
                 self.units.clear()
-                new = list(set(units))
-            for unit, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.units[unit] = array.array("I", e.ids).tobytes()
-            got = [self.units[u] for u in units]
+            self.units.update((u, ids) for u, ids in found.items() if len(u) <= KEPT_LENGTH)
         return b"".join(got)
 
+    def _encoded(self, new: list[str]) -> dict[str, bytes]:
+        """Units of Latin letters are one pretoken, which goes straight to the model; others take the whole way."""
+        out, rest, tokenize = {}, [], self.model.tokenize
+        for u in new:
+            if _PURE.fullmatch(u):
+                s = (u.lower() if self.lower else u).encode().decode("latin-1").translate(_BYTES)
+                out[u] = array.array("I", [t.id for t in tokenize(s)]).tobytes()
+            else:
+                rest.append(u)
+        if rest:
+            for u, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+                out[u] = array.array("I", e.ids).tobytes()
+        return out
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> CachedEncoder:
