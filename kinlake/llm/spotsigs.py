@@ -82,7 +82,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Prefix filtering: with signatures ordered from rare to frequent, a pair at the threshold shares one of the first
     n - ceil(threshold n) + 1 of each, so that frequent signatures, however hot, index next to nothing.
     """
-    sets = materialise(classes(docs).groupBy("sigs").agg(F.min("doc_id").alias("node")).filter("size(sigs) > 0"), "spot-classes")
+    # Written first: a filter on the sets would be pushed into the lambdas that make them.
+    sets = materialise(materialise(classes(docs), "spots").groupBy("sigs").agg(F.min("doc_id").alias("node")).filter("size(sigs) > 0"), "spot-classes")
     rarity = sets.select(F.explode("sigs").alias("sig")).groupBy("sig").agg(F.count("*").alias("df"))
     n = F.size("sigs")
     ranked = sets.select("node", n.alias("n"), F.explode("sigs").alias("sig")).join(rarity, "sig")
