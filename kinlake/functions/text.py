@@ -171,8 +171,10 @@ def phone_suffix(s: Column) -> Column:
 
 def char_ngrams(s: Column, n: int, distinct: bool = True) -> Column:
     """n-grams of a string with spaces as underscores; none for shorter strings."""
-    t = F.replace(s, F.lit(" "), F.lit("_"))
-    grams = F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substring(t, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    # A lambda binds the string, so that it is not made anew for every position.
+    cut = lambda t: F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substring(t, i, F.lit(n)))
+    none = F.array().cast("array<string>")
+    grams = F.transform(F.array(F.replace(s, F.lit(" "), F.lit("_"))), lambda t: F.when(F.length(t) >= n, cut(t)).otherwise(none))[0]
     return F.array_distinct(grams) if distinct else grams
 
 
