@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinlake.llm.common import materialise, new_folder, storage
+from kinlake.llm.common import materialise, new_folder, shuffle_partitions, storage
 
 ARC_V1 = ("url", "ip", "date", "mime", "length")
 ARC_V2 = ("url", "ip", "date", "mime", "result", "checksum", "location", "offset", "filename", "length")
@@ -260,7 +260,9 @@ def convert(files: DataFrame, folder: str | None = None, min_bytes: int = MIN_BY
     last = materialise(last.filter("n > 1"), "arc-repeats").select("payload_digest", "last")
     decided = index.select("file", "record", "page_id", "payload_digest").join(last, "payload_digest", "left")
     refers = F.when(F.col("last") != F.col("page_id"), F.col("last"))
-    decided = decided.select("file", "record", refers.alias("refers_to")).repartition("file").sortWithinPartitions("file", "record")
+    decided = decided.select("file", "record", refers.alias("refers_to"))
+    # A stated number of partitions: rows are narrow, but each stands for a payload to convert, so they must not be coalesced.
+    decided = decided.repartition(shuffle_partitions(spark), "file").sortWithinPartitions("file", "record")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, at = storage(folder)
@@ -329,6 +331,6 @@ def read_warcs(files: DataFrame) -> DataFrame:
 
 def op9_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     arcs = write_arcs(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = shuffle_partitions(spark)
     warcs = convert(arcs.repartition(n))
     return read_warcs(warcs.repartition(n))
