@@ -179,6 +179,35 @@ def test_deduplicate(docs, rows):
     assert len({300 + k for k in range(20)} & set(ids)) < 10
 
 
+def test_similar_groups(spark):
+    """Against Jaccard similarities of all pairs: the small table's documents, and near copies in a run of more than 64."""
+    rng = random.Random(3)
+    texts = {r["doc_id"]: r["text"] or "" for r in common.documents(spark, "/root/testdata/sf0.001").collect()}
+    base = prose(rng, 90).split()
+    for k in range(120):
+        w = list(base)
+        for at in rng.sample(range(90), rng.randint(0, 3)):
+            w[at] = f"x{rng.randint(0, 10**6)}"
+        texts[10**6 + k] = " ".join(w)
+    sets = {d: set(simhash.shingles(t, 5)) for d, t in texts.items()}
+    parent = {d: d for d in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(docs, 5, 192, 60, 12, 0.8).collect()}
+    assert got == {d: find(d) for d in sets}
+    assert simhash.similar_groups(docs.filter("1 = 0"), 5, 192, 60, 12, 0.8).count() == 0
+
+
 def test_arrow_stream(spark, docs, rows, plain, tmp_path):
     manifest = arrow_stream.write(docs, str(tmp_path / "s"), length=32)
     got = sorted(((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in arrow_stream.read(spark, manifest).collect()), key=lambda r: r[1])
