@@ -298,10 +298,8 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), "text").dropDuplicates(["doc_id"]).mapInArrow(run, "doc_id bigint, set array<bigint>")
 
 
-def verified(edges: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The (a, b) of `edges` whose texts' shingle sets have a Jaccard similarity of at least `similarity`."""
-    ends = edges.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = materialise(shingle_sets(docs.join(ends, "doc_id", "left_semi"), words), "shingles")
+def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The (a, b) of `edges` whose shingle sets (doc_id, set) have a Jaccard similarity of at least `similarity`."""
     left, right = (sets.select(F.col("doc_id").alias(x), F.col("set").alias(f"s{x}")) for x in "ab")
     both, na, nb = F.size(F.array_intersect("sa", "sb")), F.size("sa"), F.size("sb")
     enough = (F.least(na, nb) >= similarity * F.greatest(na, nb) - 1e-9) & (both >= similarity * (na + nb - both) - 1e-9)
@@ -322,12 +320,14 @@ def similar_groups(docs: DataFrame, words: int, bits: int, distance: int, segmen
     ways = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
     nearest = ways.groupBy("a").agg(F.min(F.struct("d", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
     nearest = materialise(nearest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "nearest")
-    sure = verified(nearest, docs, words, similarity)
+    ends = ways.select(F.col("a").alias("doc_id")).distinct()
+    sets = materialise(shingle_sets(docs.join(ends, "doc_id", "left_semi"), words), "shingles")
+    sure = verified(nearest, sets, similarity)
     group = components(sure)
     ga, gb = (group.select(F.col("node").alias(x), F.col("component").alias(f"g{x}")) for x in "ab")
     apart = F.coalesce("ga", "a") != F.coalesce("gb", "b")
     rest = pairs.select("a", "b").join(nearest, ["a", "b"], "left_anti").join(ga, "a", "left").join(gb, "b", "left").filter(apart).select("a", "b").distinct()
-    joined = components(sure.union(verified(materialise(rest, "between"), docs, words, similarity)))
+    joined = components(sure.union(verified(materialise(rest, "between"), sets, similarity)))
     classes = nodes.join(joined, "node", "left").select(*lanes, F.coalesce("component", "node").alias("component_id"))
     return prints.join(materialise(classes, "classes"), lanes, "left").select("doc_id", "component_id")
 
