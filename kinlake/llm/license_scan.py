@@ -1,7 +1,7 @@
 """Licence scan: normalised text against licence templates by Dice coefficient over word bigrams.
 
-A document is looked at line by line, by paragraph, and as a whole: a notice is a line, a licence's text a
-paragraph or a file. Dice = 2 |A n B| / (|A| + |B|) reaches a threshold t only if the smaller set has at least
+A document is looked at line by line, by paragraph, by runs of consecutive paragraphs, and as a whole: a notice is a
+line, a licence's text a paragraph, a run of them or a file. Dice = 2 |A n B| / (|A| + |B|) reaches a threshold t only if the smaller set has at least
 t / (2 - t) of the larger one's bigrams; these bounds choose the few templates that a unit is compared with, and
 drop most units before any bigram is made. No shuffle, and JVM operators only.
 """
@@ -69,18 +69,81 @@ def bigrams(words: Column) -> Column:
     return F.array_distinct(F.zip_with(F.slice(words, 1, n - 1), F.slice(words, 2, n - 1), lambda a, b: F.concat(a, F.lit(" "), b)))
 
 
+def paragraphs_of(text: Column) -> Column:
+    return F.split(text, r"\n[ \t\r]*\n\s*")
+
+
 def units(docs: DataFrame) -> DataFrame:
     """doc_id, unit ('line', 'paragraph' or 'document'), number (from 0), text: what templates are compared with. A
-    paragraph is a run of two or more lines between empty ones; a document without an empty line, of two or more
-    lines, is one unit 'document'. Null and blank texts have none."""
+    paragraph is a run of two or more lines between empty ones; the whole text of two or more lines is one unit
+    'document'. Null and blank texts have none."""
     text = F.coalesce("text", F.lit(""))
-    lines, paragraphs = F.split(text, "\n"), F.split(text, r"\n[ \t\r]*\n\s*")
-    kind = F.when(F.size(paragraphs) > 1, "paragraph").otherwise("document")
-    of = lambda parts, kind: F.transform(parts, lambda t, i: F.struct(kind.alias("unit"), i.alias("number"), t.alias("text")))
-    every = F.concat(of(lines, F.lit("line")), F.filter(of(paragraphs, kind), lambda u: F.instr(F.trim(u["text"]), "\n") > 0))
+    lines, paragraphs = F.split(text, "\n"), paragraphs_of(text)
+    of = lambda parts, kind: F.transform(parts, lambda t, i: F.struct(F.lit(kind).alias("unit"), i.alias("number"), t.alias("text")))
+    several = lambda units: F.filter(units, lambda u: F.instr(F.trim(u["text"]), "\n") > 0)
+    parts = F.when(F.size(paragraphs) > 1, of(paragraphs, "paragraph")).otherwise(F.slice(of(paragraphs, "paragraph"), 1, 0))
+    every = F.concat(of(lines, "line"), several(parts), several(of(F.array(text), "document")))
     return docs.select(F.col("doc_id").cast("bigint"), F.inline(every))
 
 
+def runs(docs: DataFrame, table: list[tuple[int, str, list[str]]], threshold: float) -> DataFrame:
+    """doc_id, unit ('run'), number (its first paragraph, from 0), k, dice: runs of two or more consecutive paragraphs, but
+    for the whole text, that match a template of `table` (k, licence, bigrams). Of runs and single paragraphs that overlap
+    the one with the greatest Dice counts, the shorter among equals, then the earlier; first for each template, then over all.
+
+    A run matches only if the text has threshold / (2 - threshold) of the template's bigrams, which few texts have. Then
+    every paragraph that has one of them starts a run, which ends once its own bigrams are too many for a match: a run
+    that starts elsewhere is no better than the same without its first paragraph.
+    """
+    reach = threshold / (2 - threshold)
+    every = list(dict.fromkeys(g for _, _, grams in table for g in grams))
+    none = F.array().cast("array<string>")
+    grams_of = lambda words: F.when(F.size(words) > 1, bigrams(words)).otherwise(none)
+    text = docs.select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text")).filter(F.col("text").rlike(r"\n[ \t\r]*\n"))
+    # Each step's value is bound by a lambda, so that it is made once for a text.
+    known = lambda words: F.transform(F.array(words), lambda w: F.array_intersect(grams_of(w), _words(every)))[0]
+    text = text.withColumn("known", F.transform(F.array(words_of(F.col("text"))), known)[0])
+    near = F.array_compact(F.array(*[F.when(F.size(F.array_intersect("known", _words(grams))) >= len(grams) * reach, F.struct(F.lit(k).alias("k"), _words(grams).alias("grams"))) for k, _, grams in table]))
+    text = text.filter(F.size("known") >= min(len(g) for _, _, g in table) * reach).withColumn("near", near).filter(F.size("near") > 0)
+    text = text.withColumn("parts", F.transform(paragraphs_of(F.col("text")), lambda p: F.filter(words_of(p), lambda w: w != ""))).drop("text", "known")
+
+    state = "struct<words:array<string>,grams:array<string>,over:boolean,found:array<struct<dice:double,short:int,early:int,rank:int,first:int,last:int>>>"
+
+    def from_start(parts: Column, first: Column, k: Column, grams: Column) -> Column:
+        size = F.size(grams)
+
+        def add(at: Column, i: Column) -> Column:
+            def scored(words: Column, have: Column) -> Column:
+                n = F.size(have)
+                dice = 2.0 * F.size(F.array_intersect(have, grams)) / (n + size)
+                hit = F.struct(dice.alias("dice"), (first - i).alias("short"), (-first).alias("early"), (-k).alias("rank"), first.alias("first"), i.alias("last"))
+                found = F.when(dice >= threshold, F.concat(at["found"], F.array(hit))).otherwise(at["found"])
+                return F.struct(F.slice(words, F.greatest(F.size(words), F.lit(1)), 1).alias("words"), have.alias("grams"), (n > size / reach).alias("over"), found.alias("found")).cast(state)
+
+            more = lambda words: F.transform(F.array(F.array_union(at["grams"], grams_of(words))), lambda have: scored(words, have))[0]
+            return F.when(at["over"], at).otherwise(F.transform(F.array(F.concat(at["words"], F.element_at(parts, i + 1))), more)[0])
+
+        start = F.struct(none.alias("words"), none.alias("grams"), F.lit(False).alias("over"), F.array().alias("found")).cast(state)
+        return F.aggregate(F.sequence(first, F.size(parts) - 1), start, add, lambda at: at["found"])
+
+    def best(found: Column) -> Column:
+        """Those that no better one overlaps, the best first."""
+        free = lambda chosen, c: ~F.exists(chosen, lambda o: (o["first"] <= c["last"]) & (c["first"] <= o["last"]))
+        return F.aggregate(F.sort_array(found, asc=False), F.slice(found, 1, 0), lambda chosen, c: F.when(free(chosen, c), F.concat(chosen, F.array(c))).otherwise(chosen))
+
+    def of_template(t: Column) -> Column:
+        parts, count = F.col("parts"), F.size("parts")
+        # The next word after a paragraph may end one of its bigrams.
+        after = lambda i: F.slice(F.flatten(F.slice(parts, i + 2, count)), 1, 1)
+        useful = lambda i: F.arrays_overlap(grams_of(F.concat(F.element_at(parts, i + 1), after(i))), t["grams"])
+        starts = F.filter(F.sequence(F.lit(0), count - 1), useful)
+        found = F.flatten(F.transform(starts, lambda i: from_start(parts, i, t["k"], t["grams"])))
+        return F.filter(best(found), lambda r: (r["last"] > r["first"]) & (r["last"] - r["first"] < count - 1))
+
+    found = text.select("doc_id", F.inline(best(F.flatten(F.transform("near", of_template)))))
+    return found.select("doc_id", F.lit("run").alias("unit"), F.col("first").alias("number"), F.col("rank").alias("k"), "dice")
+
+
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, unit, number, license, template (its number), dice: each unit's best template at `threshold` or more.
 
@@ -107,6 +170,7 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, th
     enough = F.filter(F.array(words_of(F.col("text"))), lambda w: F.size(w) > min(sizes) * reach)
     scored = F.transform(F.transform(enough, bigrams), best)
     found = found.select("doc_id", "unit", "number", F.inline(F.filter(scored, lambda b: b["dice"] >= threshold)))
+    found = found.select("doc_id", "unit", "number", "k", "dice").unionByName(runs(docs, table, threshold))
     names = F.element_at(F.array(*[F.lit(name) for name, _ in templates]), 1 - F.col("k"))
     return found.select("doc_id", "unit", F.col("number").cast("bigint").alias("number"), names.alias("license"), (-F.col("k")).cast("bigint").alias("template"), "dice")
 

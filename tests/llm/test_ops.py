@@ -444,6 +444,24 @@ def test_license_scan(spark, docs):
     assert license_scan.scan(empty(docs)).count() == 0
 
 
+def test_license_scan_usual_layout(spark):
+    """Licences with empty lines between their paragraphs, as a file and inside a longer document."""
+    by = {name: text for name, text in reversed(license_scan.TEMPLATES) if len(text) > 300}
+    parts = {"MIT": ("The above copyright", "THE SOFTWARE IS"), "Apache-2.0": ("You may obtain", "Unless required", "See the License"), "GPL-3.0": ("This program is distributed", "You should have"), "BSD-2-Clause": ("1. Redis", "2. Redis", "THIS SOFTWARE IS"), "BSD-3-Clause": ("1. Redis", "2. Redis", "3. Neither", "THIS SOFTWARE IS")}
+    texts, want = [], set()
+    for n, (name, heads) in enumerate(parts.items()):
+        text = by[name]
+        for head in heads:
+            text = text.replace(" " + head, "\n\n" + head)
+        assert text.count("\n\n") == len(heads)
+        rng = random.Random(n)
+        texts += [(n, text), (10 + n, f"Copyright (c) 2020 Someone\n\n{text}"), (20 + n, "\n\n".join([prose(rng, 400), prose(rng, 400), text, prose(rng, 400)]))]
+        want |= {(n, "document", 0, name), (10 + n, "document", 0, name), (10 + n, "run", 1, name), (20 + n, "run", 2, name)}
+    texts.append((30, "one\n\nReleased under the MIT License.\n\ntwo\n\n" + prose(rng, 300)))  # a notice is a line, not a run with its neighbours
+    got = {(r["doc_id"], r["unit"], r["number"], r["license"]) for r in license_scan.scan(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()}
+    assert {g for g in got if g[1] in ("document", "run")} == want and (30, "line", 2, "MIT") in got
+
+
 def test_pipeline(spark, tmp_path):
     d = "/root/testdata/sf0.001"
     docs = common.documents(spark, d)
