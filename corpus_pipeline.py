@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kinlake import ship
 from kinlake.llm import packing, pfair, quality_rules, simhash, site_bayes
-from kinlake.llm.common import documents, materialise
+from kinlake.llm.common import documents, file_position, materialise
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,9 +34,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents, placed into sequences."""
+    """Pieces of the documents, placed into sequences that follow the order in which the mixing stage's files hold them."""
     ship(spark)
-    return packing.pack(docs)
+    return packing.pack_in_order(docs.withColumn("_position", file_position()), "_position")
 
 
 STAGES = [

@@ -65,6 +65,12 @@ def global_rank(df: DataFrame, order: Sequence[str], name: str = "rank") -> Data
     return table.withColumn("pos", pos).drop("_mid")
 
 
+def file_position() -> Column:
+    """A row's place in a Parquet table that Spark wrote, its files read in turn: ascending, not gapless."""
+    part = F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1).cast("bigint")
+    return F.shiftleft(part, 40) + F.col("_metadata.row_index")
+
+
 def bucket_of(value: Column, splits: Sequence[int]) -> Column:
     """How many of the ascending `splits` are <= value, by binary search inside the JVM."""
     if not splits:

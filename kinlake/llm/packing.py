@@ -20,39 +20,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinlake.llm.common import documents, global_rank, materialise
+from kinlake.llm.common import documents, global_rank, long_array, materialise
 from kinlake.llm.tokens import encoder, vocabulary
 
 CAPACITY = 1024
 END_ID = 0
 VOCABULARY = "byte_bpe_50k.json"
+#: Pieces that are packed together where an order is to be kept.
+WINDOW = 8192
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary_name: str = VOCABULARY, end_id: int = END_ID) -> DataFrame:
-    """One row per piece: doc_id, start (the document's ids before it), length, ids_crc32, doc_tokens.
+def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary_name: str = VOCABULARY, end_id: int = END_ID, position: str | None = None) -> DataFrame:
+    """One row per piece: doc_id, start (the document's ids before it), length, ids_crc32, doc_tokens, and `position`, a
+    bigint of the document, if one is named.
 
     A null or empty text is its end id alone. Texts are encoded whole; a document of n ids gives
     ceil(n / capacity) pieces. Repeated rows give repeated pieces; other columns are not read.
     """
+    also = [position] if position else []
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *also]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(vocabulary(vocabulary_name)), end_id.to_bytes(4, "little")
         for batch in batches:
             out: list[tuple] = []
             for part in (batch.slice(at, 256) for at in range(0, batch.num_rows, 256)):  # few texts at a time as Python strings
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                for doc_id, text, *more in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     ids = encode(text or "") + end
                     n = len(ids) // 4
                     for at in range(0, n, capacity):
                         k = min(capacity, n - at)
-                        out.append((doc_id, at, k, zlib.crc32(ids[4 * at : 4 * (at + k)]), n))
-            cols = list(zip(*out, strict=True)) if out else [()] * 5
-            names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens")
+                        out.append((doc_id, at, k, zlib.crc32(ids[4 * at : 4 * (at + k)]), n, *more))
+            cols = list(zip(*out, strict=True)) if out else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("bigint"), "text", *also).mapInArrow(cut, ", ".join([PIECES, *(f"{c} bigint" for c in also)]))
 
 
 def shortest_pack_first(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
@@ -149,5 +153,37 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary_name: str = VOCAB
     return ranked.mapInArrow(place, schema)
 
 
+def pack_in_order(docs: DataFrame, position: str, capacity: int = CAPACITY, window: int = WINDOW, vocabulary_name: str = VOCABULARY, end_id: int = END_ID) -> DataFrame:
+    """`pack`, but sequences follow the documents' order by `position`, a bigint column: each `window` pieces in a row are
+    packed by themselves, and a window's sequences come before the next one's, numbered by their earliest pieces."""
+    cut = materialise(pieces(docs, capacity, vocabulary_name, end_id, position), "pieces")
+    ranked = global_rank(cut, [position, "doc_id", "start", "ids_crc32"], "ordered")
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+
+    def place(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("length", "ascending"), ("pos", "ascending")])
+        length, pos = table["length"].to_numpy(), table["pos"].to_numpy()
+        lengths, first, count = np.unique(length, return_index=True, return_counts=True)
+        t = placement(shortest_pack_first(dict(zip(lengths.tolist(), count.tolist(), strict=True)), capacity), capacity)
+        rank = np.arange(len(length)) - np.repeat(first, count)
+        at = np.searchsorted(t["key"], length * (1 << 48) + rank, side="right") - 1
+        sequence = t["sequence"][at] + rank - t["first"][at]
+        earliest = np.full(sequence.max() + 1, np.iinfo(np.int64).max)
+        np.minimum.at(earliest, sequence, pos)
+        whole = np.bincount(sequence, weights=length).astype(np.int64)[sequence]
+        number = np.empty(len(earliest), dtype=np.int64)
+        number[np.argsort(earliest)] = np.arange(len(earliest))
+        padded = np.where((whole & (whole - 1)) == 0, whole, capacity)
+        new = {"sequence_id": number[sequence], "offset": t["offset"][at], "sequence_length": whole, "padded_length": padded, "window": pos // window}
+        return pa.table({**{n: table[n] for n in names}, **{n: pa.array(x, pa.int64()) for n, x in new.items()}})
+
+    schema = PIECES + ", sequence_id bigint, offset bigint, sequence_length bigint, padded_length bigint"
+    grouped = ranked.withColumn("window", F.floor(F.col("pos") / F.lit(window))).groupBy("window")
+    placed = materialise(grouped.applyInArrow(place, schema + ", window bigint"), "windows")
+    counts = sorted((r["window"], r["n"]) for r in placed.groupBy("window").agg((F.max("sequence_id") + 1).alias("n")).collect())  # a number per window
+    starts = np.cumsum([0] + [n for _, n in counts]).tolist()
+    return placed.withColumn("sequence_id", F.col("sequence_id") + F.element_at(long_array(starts), (F.col("window") + 1).cast("int"))).drop("window")
+
+
 def op6_packing(spark, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))

@@ -477,3 +477,19 @@ def test_pipeline(spark, tmp_path):
     tokens = {r["doc_id"]: (r["n"], r["m"]) for r in packed.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("m")).collect()}
     assert set(tokens) == set(left) and all(n == m for n, m in tokens.values())
     assert sorted(map(repr, corpus_pipeline.run(spark, d).select("doc_id", "start", "ids_crc32").collect())) == sorted(map(repr, packed.select("doc_id", "start", "ids_crc32").collect()))
+
+
+def test_pipeline_packs_in_the_mixtures_order(spark):
+    rng = random.Random(5)
+    docs = spark.createDataFrame([(k, prose(rng, rng.randint(5, 60)), "en", "ab"[k % 2]) for k in range(600)], "doc_id bigint, text string, lang string, source string")
+    at = lambda df: df.select("doc_id", "sequence_id").orderBy("sequence_id", "doc_id").collect()
+    plain = common.materialise(docs, "stage")
+    mixes = [common.materialise(pfair.mixed(docs, w, 8), "stage") for w in ({"a": 3.0, "b": 1.0}, {"a": 1.0, "b": 3.0})]
+    first, second, without = (at(corpus_pipeline.pack(spark, d, "")) for d in (*mixes, plain))
+    assert first != second and first != without and second != without
+    for mixture, many in zip(mixes, (0, 1)):
+        got = packing.pack_in_order(mixture.withColumn("p", common.file_position()), "p", 256, window=40).collect()
+        ids = {r["sequence_id"] for r in got}
+        assert ids == set(range(len(ids))) and all(sum(r["length"] for r in got if r["sequence_id"] == i) <= 256 for i in ids)
+        early = [r["doc_id"] % 2 for r in sorted(got, key=lambda r: r["sequence_id"])[:240]]
+        assert abs(sum(x == many for x in early) - 180) <= 20
