@@ -10,7 +10,7 @@ members. Links become components by distributed star contraction.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -159,7 +159,8 @@ def links(nodes: DataFrame, bits: int = BITS, distance: int = DISTANCE, segments
     """Links (a, b) between `nodes` (node, f0, ...), of distinct fingerprints, that join all that is joined by pairs
     within `distance` bits. Exact when distance < 2 * segments; beyond that, a pair is found if one of its segments
     differs in at most one bit. With `least`, a run of up to 64 members gives all its links and a larger one a forest
-    of least distances, and `d` tells the differing bits: candidates for an exact check."""
+    of least distances, and `d` tells the differing bits: candidates for an exact check. A larger run's members come as
+    well, as rows of a node `a` with `key` and `slot` and without `b`: `between` makes the links that the forest left out."""
     spark, layout = nodes.sparkSession, _layout(bits, segments)
     lanes = [f"f{i}" for i in range(bits // 64)]
     signature = "key bigint, slot int, node bigint, " + ", ".join(f"{n} bigint" for n in lanes)
@@ -204,10 +205,7 @@ def links(nodes: DataFrame, bits: int = BITS, distance: int = DISTANCE, segments
     forest = _least_forest if least else _forest
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[np.ndarray] | None = None
-        names = ["key", "slot", "node", *lanes]
-
-        def out(done: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for done in _whole_runs(batches, ["key", "slot", "node", *lanes]):
             key, slot, node = done[0], done[1], done[2]
             f = np.stack(done[3:], axis=1).view(np.uint64)
             starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (slot[1:] != slot[:-1])])
@@ -225,25 +223,66 @@ def links(nodes: DataFrame, bits: int = BITS, distance: int = DISTANCE, segments
                     found.append(np.array(pairs).T + a)
             if found:
                 x = np.concatenate(found, axis=1)
-                cols = [node[x[0]], node[x[1]]]
+                cols = [pa.array(node[x[0]]), pa.array(node[x[1]])]
                 if least:
-                    cols.append(np.bitwise_count(f[x[0]] ^ f[x[1]]).sum(axis=1, dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["a", "b", "d"][: len(cols)])
+                    n = len(x[0])
+                    cols += [pa.array(np.bitwise_count(f[x[0]] ^ f[x[1]]).sum(axis=1, dtype=np.int64)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())]
+                yield pa.RecordBatch.from_arrays(cols, names=out_names)
+            if least and not small.all():
+                n = int((~small).sum())
+                cols = [pa.array(node[~small]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(key[~small]), pa.array(slot[~small].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(cols, names=out_names)
+
+    out = "a bigint, b bigint, d bigint, key bigint, slot int" if least else "a bigint, b bigint"
+    out_names = [c.split()[0] for c in out.split(", ")]
+    return signed.repartition("key").sortWithinPartitions("key", "slot").mapInArrow(scan, out)
+
+
+def _whole_runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[np.ndarray]]:
+    """The columns `names` of batches sorted by the first, cut anew so that no value of the first is cut in two."""
+    kept: list[np.ndarray] | None = None
+    for batch in batches:
+        cols = [batch.column(n).to_numpy() for n in names]
+        if kept is not None:
+            cols = [np.concatenate(x) for x in zip(kept, cols, strict=True)]
+        if not len(cols[0]):
+            continue
+        cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last run may go on
+        kept = [c[cut:] for c in cols]
+        if cut:
+            yield [c[:cut] for c in cols]
+    if kept is not None and len(kept[0]):
+        yield kept
+
+
+def between(members: DataFrame, nodes: DataFrame, group: DataFrame, bits: int, distance: int, segments: int) -> DataFrame:
+    """All links (a, b) of the runs in `members` (node, key, slot) between nodes of different groups. `group` (node,
+    component) has the nodes that are in a group; others are one by themselves. Runs within one group are not compared."""
+    layout, lanes = _layout(bits, segments), [f"f{i}" for i in range(bits // 64)]
+    grouped = members.join(group, "node", "left").select("node", "key", "slot", F.coalesce("component", "node").alias("g"))
+    mixed = grouped.groupBy("key", "slot").agg(F.min("g").alias("least"), F.max("g").alias("most")).filter("least < most").select("key", "slot")
+    rows = grouped.join(mixed, ["key", "slot"]).join(nodes.select("node", *lanes), "node").select("key", "slot", "node", "g", *lanes)
 
-        for batch in batches:
-            cols = [batch.column(n).to_numpy() for n in names]
-            if kept is not None:
-                cols = [np.concatenate(x) for x in zip(kept, cols, strict=True)]
-            if not len(cols[0]):
-                continue
-            cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last run may go on
-            kept = [c[cut:] for c in cols]
-            if cut:
-                yield from out([c[:cut] for c in cols])
-        if kept is not None and len(kept[0]):
-            yield from out(kept)
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, slot, node, g, *f in _whole_runs(batches, ["key", "slot", "node", "g", *lanes]):
+            f = np.stack(f, axis=1).view(np.uint64)
+            starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (slot[1:] != slot[:-1])])
+            ends = np.repeat(np.r_[starts[1:], len(key)], np.diff(np.r_[starts, len(key)]))
+            found, size = [], 0
+            for i in range(len(key)):
+                j = np.arange(i + 1, ends[i])
+                j = j[g[j] != g[i]]
+                j = j[_near(f, np.full(len(j), i), j, slot[j], layout, distance)] if len(j) else j
+                if len(j):
+                    found.append((np.full(len(j), node[i]), node[j]))
+                    size += len(j)
+                if found and (size > 65536 or i + 1 == len(key)):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["a", "b"])
+                    found, size = [], 0
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["a", "b"])
 
-    return signed.repartition("key").sortWithinPartitions("key", "slot").mapInArrow(scan, "a bigint, b bigint, d bigint" if least else "a bigint, b bigint")
+    return rows.repartition("key").sortWithinPartitions("key", "slot").mapInArrow(scan, "a bigint, b bigint")
 
 
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
@@ -309,27 +348,42 @@ def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 def similar_groups(docs: DataFrame, words: int, bits: int, distance: int, segments: int, similarity: float) -> DataFrame:
     """doc_id, component_id (smallest doc_id reachable over links of at least `similarity`, checked on the texts).
 
-    Candidates come from fingerprints. Each document's nearest candidate is checked first; of the others, only those
-    between different groups by then, so that a large group costs about a check per member.
+    Candidates come from fingerprints; `checked_groups` has how they are checked.
     """
     lanes = [f"f{i}" for i in range(bits // 64)]
     prints = materialise(fingerprints(docs, words, bits), "fingerprints")
     nodes = materialise(prints.groupBy(*lanes).agg(F.min("doc_id").alias("node")), "nodes")
-    found = materialise(links(nodes.filter("node IS NOT NULL"), bits, distance, segments, least=True), "candidates")
+    sets_of = lambda ends: shingle_sets(docs.join(ends, "doc_id", "left_semi"), words)
+    joined = checked_groups(nodes.filter("node IS NOT NULL"), sets_of, bits, distance, segments, similarity)
+    classes = nodes.join(joined, "node", "left").select(*lanes, F.coalesce("component", "node").alias("component_id"))
+    return prints.join(materialise(classes, "classes"), lanes, "left").select("doc_id", "component_id")
+
+
+def checked_groups(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], bits: int, distance: int, segments: int, similarity: float) -> DataFrame:
+    """(node, component) over the candidate links of `nodes` (node, f0, ...) whose sets are similar; `sets_of` gives the sets
+    (doc_id, set) of a table of doc_id.
+
+    Each node's nearest candidate is checked first; of the others, only those between different groups by then, so that a
+    large group costs about a check per member. Last come all pairs of large keys' runs that are still apart.
+    """
+    every = materialise(links(nodes, bits, distance, segments, least=True), "candidates")
+    found, members = every.filter("b IS NOT NULL"), every.filter("b IS NULL").select(F.col("a").alias("node"), "key", "slot")
     pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "d")
     ways = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
     nearest = ways.groupBy("a").agg(F.min(F.struct("d", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
     nearest = materialise(nearest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "nearest")
-    ends = ways.select(F.col("a").alias("doc_id")).distinct()
-    sets = materialise(shingle_sets(docs.join(ends, "doc_id", "left_semi"), words), "shingles")
+    sets = materialise(sets_of(ways.select(F.col("a").alias("doc_id")).distinct()), "shingles")
     sure = verified(nearest, sets, similarity)
     group = components(sure)
     ga, gb = (group.select(F.col("node").alias(x), F.col("component").alias(f"g{x}")) for x in "ab")
     apart = F.coalesce("ga", "a") != F.coalesce("gb", "b")
     rest = pairs.select("a", "b").join(nearest, ["a", "b"], "left_anti").join(ga, "a", "left").join(gb, "b", "left").filter(apart).select("a", "b").distinct()
-    joined = components(sure.union(verified(materialise(rest, "between"), sets, similarity)))
-    classes = nodes.join(joined, "node", "left").select(*lanes, F.coalesce("component", "node").alias("component_id"))
-    return prints.join(materialise(classes, "classes"), lanes, "left").select("doc_id", "component_id")
+    sure = sure.union(verified(materialise(rest, "between"), sets, similarity))
+    joined = components(sure)
+    if not members.limit(1).count():
+        return joined
+    more = materialise(between(members, nodes, joined, bits, distance, segments), "between-runs")
+    return components(sure.union(verified(more, sets, similarity)))
 
 
 def deduplicate(docs: DataFrame, words: int = 5, bits: int = 192, distance: int = 60, segments: int = 12, similarity: float = 0.8) -> DataFrame:

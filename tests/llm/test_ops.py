@@ -208,6 +208,21 @@ def test_similar_groups(spark):
     assert simhash.similar_groups(docs.filter("1 = 0"), 5, 192, 60, 12, 0.8).count() == 0
 
 
+def test_pairs_that_the_forest_leaves_out(spark):
+    """A run of more than 64 whose nearest fingerprints are dissimilar, while others are alike."""
+    rng = random.Random(4)
+    rows = []
+    for k in range(100):
+        # Twins k and k + 1 differ in two bits at most, others in more; k is like k + 2, of the next pair.
+        x = sum(1 << b for b in random.Random(k // 2).sample(range(16, 64), 12)) | (k % 2) << 17
+        y = rng.getrandbits(1) << 20
+        rows.append((k, x if x < 1 << 63 else x - (1 << 64), y, 0, [10 * (k // 4 * 2 + k % 2) + i for i in range(10)]))
+    nodes = spark.createDataFrame(rows, "node bigint, f0 bigint, f1 bigint, f2 bigint, set array<bigint>")
+    sets = nodes.select(F.col("node").alias("doc_id"), "set")
+    got = {r["node"]: r["component"] for r in simhash.checked_groups(nodes, lambda ends: sets.join(ends, "doc_id", "left_semi"), 192, 60, 12, 0.8).collect()}
+    assert {k: got.get(k, k) for k in range(100)} == {k: k // 4 * 4 + k % 2 for k in range(100)}
+
+
 def test_arrow_stream(spark, docs, rows, plain, tmp_path):
     manifest = arrow_stream.write(docs, str(tmp_path / "s"), length=32)
     got = sorted(((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in arrow_stream.read(spark, manifest).collect()), key=lambda r: r[1])
