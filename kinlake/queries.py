@@ -656,12 +656,14 @@ def mine_equivalences(spark, d):
 def segment_words(spark, d):
     """First sentences without their spaces, segmented again by the corpus's vocabulary."""
     from kinlake.functions import fuzzy
+    from kinlake.sources import scratch
 
     e = views.entities(spark, d)
     counts = learn.vocabulary(e.select(F.explode(T.words(F.col("addr"))).alias("token")), 20, 3)
-    top = counts.orderBy(F.desc("log_n"), "token").limit(50_000).select("token", F.round(F.exp("log_n")).cast("bigint")).collect()
+    path = scratch.new_folder(spark, "vocabulary")
+    counts.select("token", F.round(F.exp("log_n")).cast("bigint").alias("n")).write.parquet(path)
     words = F.transform(T.words(F.col("name")), lambda w: F.concat(w, F.lit("com")))
-    return e.select("id", fuzzy.segmenter(dict(map(tuple, top)))(F.array_join(words, " ")).alias("segmented"))
+    return e.select("id", fuzzy.segmenter(path)(F.array_join(words, " ")).alias("segmented"))
 
 
 @query()

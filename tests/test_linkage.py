@@ -165,3 +165,16 @@ def test_entry_without_optional_parts(tmp_path):
     shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 60 and 'pipeline' not in q; assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, check=True)
+
+
+def test_segment_words_by_the_whole_vocabulary(spark, tmp_path):
+    """More than 50,000 words of equal counts; the glued words are of the last."""
+    import itertools
+
+    from kinlake.queries import QUERIES
+
+    every = ["".join(w) for w in itertools.islice(itertools.product("abcdefghijklmnop", repeat=4), 50_100)]
+    a, b = every[-1], every[-2]
+    rows = [(k, f"{a}{b}. " + " ".join(every), "en", "s") for k in range(20)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r["segmented"] for r in QUERIES["segment_words"](spark, str(tmp_path)).collect()} == {f"{a} {b}"}
