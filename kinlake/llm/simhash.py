@@ -10,7 +10,7 @@ members. Links become components by distributed star contraction.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +25,8 @@ DISTANCE = 4
 SEGMENTS = 3
 #: A key's run of more members is split into blocks of about so many, compared block by block.
 BLOCK = 8192
+#: Runs of up to so many members are compared many at a time.
+SMALL = 64
 _SEEDS = 42
 _LOWER = bytes(range(256)).lower()
 
@@ -99,9 +101,13 @@ def _near(f: np.ndarray, i: np.ndarray, j: np.ndarray, slot: np.ndarray, layout,
     """Whether pairs (i, j) link, and this slot is the first that they share: so each link is made once."""
     ok = np.bitwise_count(f[i] ^ f[j]).sum(axis=1, dtype=np.int64) <= distance
     few = np.flatnonzero(ok)  # next to none, in most runs
-    if not len(few):
-        return ok
-    x, slot = f[i[few]] ^ f[j[few]], slot[few]
+    if len(few):
+        ok[few] = _owned(f[i[few]] ^ f[j[few]], slot[few], layout)
+    return ok
+
+
+def _owned(x: np.ndarray, slot: np.ndarray | int, layout) -> np.ndarray:
+    """Whether `slot` is the first that a pair of fingerprints shares; x are the pairs' differing bits."""
     own, settled, slot0 = np.zeros(len(x), dtype=bool), np.zeros(len(x), dtype=bool), 0
     for lane, first, size in layout:
         d = (x[:, lane] >> np.uint64(first)) & np.uint64((1 << size) - 1)
@@ -111,8 +117,7 @@ def _near(f: np.ndarray, i: np.ndarray, j: np.ndarray, slot: np.ndarray, layout,
         own |= here & (slot == slot0 + bit)
         settled |= here
         slot0 += size
-    ok[few] = own
-    return ok
+    return own
 
 
 def _forest(f: np.ndarray, slot: int, layout, distance: int) -> Iterator[tuple[int, int]]:
@@ -135,44 +140,21 @@ def _forest(f: np.ndarray, slot: int, layout, distance: int) -> Iterator[tuple[i
             rest = rest[~hit]
 
 
-def _least_forest(f: np.ndarray, slot: int, layout, distance: int) -> Iterator[tuple[int, int]]:
-    """Links of a spanning forest of least distances over one run (Prim), in memory linear in its members: whatever is
-    joined by links of at most some distance, for any distance, is joined by those of the forest."""
-    far = np.iinfo(np.int64).max
-    rest, best, via, at = np.arange(1, len(f)), np.full(len(f), far), np.zeros(len(f), dtype=np.int64), 0
-    while len(rest):
-        d = np.bitwise_count(f[rest] ^ f[at]).sum(axis=1, dtype=np.int64)
-        near = np.flatnonzero((d <= distance) & (d < best[rest]))
-        if len(near):
-            j = rest[near]
-            hit = _near(f, np.full(len(j), at), j, np.full(len(j), slot), layout, distance)
-            best[j[hit]], via[j[hit]] = d[near[hit]], at
-        k = int(np.argmin(best[rest]))
-        at = int(rest[k])
-        if best[at] < far:
-            yield int(via[at]), at
-        rest[k] = rest[-1]
-        rest = rest[:-1]
-
-
-def links(nodes: DataFrame, bits: int = BITS, distance: int = DISTANCE, segments: int = SEGMENTS, block: int = BLOCK, least: bool = False) -> DataFrame:
-    """Links (a, b) between `nodes` (node, f0, ...), of distinct fingerprints, that join all that is joined by pairs
-    within `distance` bits. Exact when distance < 2 * segments; beyond that, a pair is found if one of its segments
-    differs in at most one bit. With `least`, a run of up to 64 members gives all its links and a larger one a forest
-    of least distances, and `d` tells the differing bits: candidates for an exact check. A larger run's members come as
-    well, as rows of a node `a` with `key` and `slot` and without `b`: `between` makes the links that the forest left out."""
-    spark, layout = nodes.sparkSession, _layout(bits, segments)
+def index(nodes: DataFrame, bits: int = BITS, segments: int = SEGMENTS, block: int = BLOCK) -> DataFrame:
+    """key, slot, node, f0, ... of every one-wildcard variant of `nodes` (node, f0, ...); rows of equal key and slot are a
+    run. Runs that may exceed `block` members are dealt out by pairs of blocks, so that any two members still meet."""
+    layout = _layout(bits, segments)
     lanes = [f"f{i}" for i in range(bits // 64)]
     signature = "key bigint, slot int, node bigint, " + ", ".join(f"{n} bigint" for n in lanes)
 
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             f = np.stack([batch.column(n).to_numpy() for n in lanes], axis=1).view(np.uint64)
             own = [batch.column("node"), *(batch.column(n) for n in lanes)]
             for slot, key in _variants(f, layout):
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), slot, dtype=np.int32)), *own], names=["key", "slot", "node", *lanes])
 
-    signed = nodes.select("node", *lanes).mapInArrow(index, signature)
+    signed = nodes.select("node", *lanes).mapInArrow(variants, signature)
 
     # Keys that may hold more than a block: from the segments' exact values, a small count with partial sums.
     values = F.array(*[
@@ -201,41 +183,48 @@ def links(nodes: DataFrame, bits: int = BITS, distance: int = DISTANCE, segments
             .withColumn("key", F.when(F.col("blocks") > 1, F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))).otherwise(F.col("key")))
             .select("key", "slot", "node", *lanes)
         )
+    return signed
 
-    forest = _least_forest if least else _forest
+
+def links(nodes: DataFrame, bits: int = BITS, distance: int = DISTANCE, segments: int = SEGMENTS, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between `nodes` (node, f0, ...), of distinct fingerprints, that join all that is joined by pairs
+    within `distance` bits. Exact when distance < 2 * segments; beyond that, a pair is found if one of its segments
+    differs in at most one bit."""
+    layout, lanes = _layout(bits, segments), [f"f{i}" for i in range(bits // 64)]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for done in _whole_runs(batches, ["key", "slot", "node", *lanes]):
-            key, slot, node = done[0], done[1], done[2]
-            f = np.stack(done[3:], axis=1).view(np.uint64)
-            starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (slot[1:] != slot[:-1])])
-            ends = np.r_[starts[1:], len(key)]
+        for key, slot, node, *f in _whole_runs(batches, ["key", "slot", "node", *lanes]):
+            f = np.stack(f, axis=1).view(np.uint64)
+            starts, ends = _bounds(key, slot)
             found: list[np.ndarray] = []
-            small = np.repeat(ends - starts <= 64, ends - starts)
-            for step in range(1, 64):
-                i = np.flatnonzero((key[:-step] == key[step:]) & (slot[:-step] == slot[step:]) & small[:-step]) if step < len(key) else np.empty(0, dtype=np.int64)
-                if not len(i):
-                    break
-                hit = _near(f, i, i + step, slot[i], layout, distance)
-                found.append(np.stack([i[hit], i[hit] + step]))
+            for i, j in _small_pairs(key, slot, starts, ends):
+                hit = _near(f, i, j, slot[i], layout, distance)
+                found.append(np.stack([i[hit], j[hit]]))
             for a, b in zip(starts, ends, strict=True):
-                if b - a > 64 and (pairs := list(forest(f[a:b], int(slot[a]), layout, distance))):
+                if b - a > SMALL and (pairs := list(_forest(f[a:b], int(slot[a]), layout, distance))):
                     found.append(np.array(pairs).T + a)
             if found:
                 x = np.concatenate(found, axis=1)
-                cols = [pa.array(node[x[0]]), pa.array(node[x[1]])]
-                if least:
-                    n = len(x[0])
-                    cols += [pa.array(np.bitwise_count(f[x[0]] ^ f[x[1]]).sum(axis=1, dtype=np.int64)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())]
-                yield pa.RecordBatch.from_arrays(cols, names=out_names)
-            if least and not small.all():
-                n = int((~small).sum())
-                cols = [pa.array(node[~small]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(key[~small]), pa.array(slot[~small].astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(cols, names=out_names)
+                yield pa.RecordBatch.from_arrays([pa.array(node[x[0]]), pa.array(node[x[1]])], names=["a", "b"])
+
+    return index(nodes, bits, segments, block).repartition("key").sortWithinPartitions("key", "slot").mapInArrow(scan, "a bigint, b bigint")
 
-    out = "a bigint, b bigint, d bigint, key bigint, slot int" if least else "a bigint, b bigint"
-    out_names = [c.split()[0] for c in out.split(", ")]
-    return signed.repartition("key").sortWithinPartitions("key", "slot").mapInArrow(scan, out)
+
+def _bounds(key: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of rows sorted by (key, slot) begin and end."""
+    starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (slot[1:] != slot[:-1])])
+    return starts, np.r_[starts[1:], len(key)]
+
+
+def _small_pairs(key: np.ndarray, slot: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs (i, j) of rows of one run, for runs of up to `SMALL` members, for many runs at a time. Longer runs are gone
+    through one by one: a matter of speed, not of what links."""
+    small = np.repeat(ends - starts <= SMALL, ends - starts)
+    for step in range(1, min(SMALL, len(key))):
+        i = np.flatnonzero((key[:-step] == key[step:]) & (slot[:-step] == slot[step:]) & small[:-step])
+        if not len(i):
+            return
+        yield i, i + step
 
 
 def _whole_runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[np.ndarray]]:
@@ -255,36 +244,6 @@ def _whole_runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator
         yield kept
 
 
-def between(members: DataFrame, nodes: DataFrame, group: DataFrame, bits: int, distance: int, segments: int) -> DataFrame:
-    """All links (a, b) of the runs in `members` (node, key, slot) between nodes of different groups. `group` (node,
-    component) has the nodes that are in a group; others are one by themselves. Runs within one group are not compared."""
-    layout, lanes = _layout(bits, segments), [f"f{i}" for i in range(bits // 64)]
-    grouped = members.join(group, "node", "left").select("node", "key", "slot", F.coalesce("component", "node").alias("g"))
-    mixed = grouped.groupBy("key", "slot").agg(F.min("g").alias("least"), F.max("g").alias("most")).filter("least < most").select("key", "slot")
-    rows = grouped.join(mixed, ["key", "slot"]).join(nodes.select("node", *lanes), "node").select("key", "slot", "node", "g", *lanes)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, slot, node, g, *f in _whole_runs(batches, ["key", "slot", "node", "g", *lanes]):
-            f = np.stack(f, axis=1).view(np.uint64)
-            starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (slot[1:] != slot[:-1])])
-            ends = np.repeat(np.r_[starts[1:], len(key)], np.diff(np.r_[starts, len(key)]))
-            found, size = [], 0
-            for i in range(len(key)):
-                j = np.arange(i + 1, ends[i])
-                j = j[g[j] != g[i]]
-                j = j[_near(f, np.full(len(j), i), j, slot[j], layout, distance)] if len(j) else j
-                if len(j):
-                    found.append((np.full(len(j), node[i]), node[j]))
-                    size += len(j)
-                if found and (size > 65536 or i + 1 == len(key)):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["a", "b"])
-                    found, size = [], 0
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["a", "b"])
-
-    return rows.repartition("key").sortWithinPartitions("key", "slot").mapInArrow(scan, "a bigint, b bigint")
-
-
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(node, component): the smallest node reachable, for every node with a link. Alternating large-star and
     small-star contraction (Kiveris et al. 2014), O(log n) rounds or so; each round is written to the shared folder.
@@ -324,84 +283,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS, dista
     return prints.join(materialise(classes, "classes"), lanes, "left")
 
 
-def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id and `set`, the sorted distinct hashes of the text's shingles; one row per doc_id."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
-
-        for batch in batches:
-            sets = [np.unique(np.array([xxh64_intdigest(s, _SEEDS) for s in shingles(t, words)], dtype="<u8").view("<i8")) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "set"])
-
-    return docs.select(F.col("doc_id").cast("bigint"), "text").dropDuplicates(["doc_id"]).mapInArrow(run, "doc_id bigint, set array<bigint>")
-
-
-def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The (a, b) of `edges` whose shingle sets (doc_id, set) have a Jaccard similarity of at least `similarity`."""
-    left, right = (sets.select(F.col("doc_id").alias(x), F.col("set").alias(f"s{x}")) for x in "ab")
-    both, na, nb = F.size(F.array_intersect("sa", "sb")), F.size("sa"), F.size("sb")
-    enough = (F.least(na, nb) >= similarity * F.greatest(na, nb) - 1e-9) & (both >= similarity * (na + nb - both) - 1e-9)
-    return materialise(edges.join(left, "a").join(right, "b").filter(enough).select("a", "b"), "verified")
-
-
-def similar_groups(docs: DataFrame, words: int, bits: int, distance: int, segments: int, similarity: float) -> DataFrame:
-    """doc_id, component_id (smallest doc_id reachable over links of at least `similarity`, checked on the texts).
-
-    Candidates come from fingerprints; `checked_groups` has how they are checked.
-    """
-    lanes = [f"f{i}" for i in range(bits // 64)]
-    prints = materialise(fingerprints(docs, words, bits), "fingerprints")
-    nodes = materialise(prints.groupBy(*lanes).agg(F.min("doc_id").alias("node")), "nodes")
-    sets_of = lambda ends: shingle_sets(docs.join(ends, "doc_id", "left_semi"), words)
-    joined = checked_groups(nodes.filter("node IS NOT NULL"), sets_of, bits, distance, segments, similarity)
-    classes = nodes.join(joined, "node", "left").select(*lanes, F.coalesce("component", "node").alias("component_id"))
-    return prints.join(materialise(classes, "classes"), lanes, "left").select("doc_id", "component_id")
-
-
-def checked_groups(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], bits: int, distance: int, segments: int, similarity: float) -> DataFrame:
-    """(node, component) over the candidate links of `nodes` (node, f0, ...) whose sets are similar; `sets_of` gives the sets
-    (doc_id, set) of a table of doc_id.
-
-    Each node's nearest candidate is checked first; of the others, only those between different groups by then, so that a
-    large group costs about a check per member. Last come all pairs of large keys' runs that are still apart.
-    """
-    every = materialise(links(nodes, bits, distance, segments, least=True), "candidates")
-    found, members = every.filter("b IS NOT NULL"), every.filter("b IS NULL").select(F.col("a").alias("node"), "key", "slot")
-    pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "d")
-    ways = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
-    nearest = ways.groupBy("a").agg(F.min(F.struct("d", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
-    nearest = materialise(nearest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "nearest")
-    sets = materialise(sets_of(ways.select(F.col("a").alias("doc_id")).distinct()), "shingles")
-    sure = verified(nearest, sets, similarity)
-    group = components(sure)
-    ga, gb = (group.select(F.col("node").alias(x), F.col("component").alias(f"g{x}")) for x in "ab")
-    apart = F.coalesce("ga", "a") != F.coalesce("gb", "b")
-    rest = pairs.select("a", "b").join(nearest, ["a", "b"], "left_anti").join(ga, "a", "left").join(gb, "b", "left").filter(apart).select("a", "b").distinct()
-    sure = sure.union(verified(materialise(rest, "between"), sets, similarity))
-    joined = components(sure)
-    if not members.limit(1).count():
-        return joined
-    more = materialise(between(members, nodes, joined, bits, distance, segments), "between-runs")
-    return components(sure.union(verified(more, sets, similarity)))
-
-
-def deduplicate(docs: DataFrame, words: int = 5, bits: int = 192, distance: int = 60, segments: int = 12, similarity: float = 0.8) -> DataFrame:
-    """The documents whose doc_id is their component's smallest, with all columns of `docs`; of rows that repeat that
-    doc_id and text, one. Rows with a null doc_id stay, as no decision names them. Null and blank texts are alike. An
-    empty table gives no rows.
-
-    Links are pairs of texts whose sets of five-word shingles have a Jaccard similarity J of at least `similarity`, which
-    is computed; fingerprints only propose them. For J = 0.8, 192 bits differ in 29 on average, and one of 12 segments
-    in at most one bit for 98 pairs in 100.
-    """
-    known = docs.filter("doc_id IS NOT NULL").select("doc_id", "text")
-    found = similar_groups(known, words, bits, distance, segments, similarity)
-    keep = found.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(materialise(keep, "kept"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id IS NULL"))
-
-
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and component; see `near_duplicates`."""
     found = near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
