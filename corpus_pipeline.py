@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from kinlake import ship
-from kinlake.llm import packing, pfair, quality_rules, simhash, site_bayes
+from kinlake.llm import neardup, packing, pfair, quality_rules, site_bayes
 from kinlake.llm.common import documents, file_position, materialise
 
 
@@ -24,7 +24,7 @@ def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest doc_id."""
     ship(spark)
-    return simhash.deduplicate(docs)
+    return neardup.deduplicate(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
