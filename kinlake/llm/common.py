@@ -2,40 +2,18 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
+import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kinlake.sources.scratch import materialise, new_folder  # noqa: F401
+
 #: Code points that regular expressions of the tokenizers treat as white space.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = os.path.join(tempfile.gettempdir(), "checkpoints")
-        os.makedirs(base, exist_ok=True)
-    return base.rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing has used before."""
-    return f"{shared_dir(spark)}/kinlake/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: lineage ends in replicated
-    storage, so a lost executor costs no recomputation and partition-dependent ids stay as they are."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -45,8 +23,8 @@ def long_array(values: Sequence[int]) -> Column:
     return F.from_json(F.lit("[" + ",".join(map(str, values)) + "]"), "array<bigint>")
 
 
-def global_rank(df: DataFrame, order: Sequence[str], name: str = "rank") -> DataFrame:
-    """Add `pos`, the gapless 0-based rank by `order` (ascending, nulls first).
+def global_rank(df: DataFrame, order: Sequence[str], name: str = "rank", out: str = "pos") -> DataFrame:
+    """Add `out`, the gapless 0-based rank by `order` (ascending, nulls first).
 
     One range shuffle and a sort inside partitions; a partition's rows get consecutive ids, the
     partitions' counts (one number each) go to the driver and come back as start offsets. Hot values are
@@ -62,7 +40,7 @@ def global_rank(df: DataFrame, order: Sequence[str], name: str = "rank") -> Data
     for p in sorted(counts):
         starts[p], total = total, total + counts[p]
     pos = F.element_at(long_array(starts), (part + 1).cast("int")) + F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
-    return table.withColumn("pos", pos).drop("_mid")
+    return table.withColumn(out, pos).drop("_mid")
 
 
 def file_position() -> Column:
@@ -71,11 +49,16 @@ def file_position() -> Column:
     return F.shiftleft(part, 40) + F.col("_metadata.row_index")
 
 
-def bucket_of(value: Column, splits: Sequence[int]) -> Column:
-    """How many of the ascending `splits` are <= value, by binary search inside the JVM."""
+def text_array(values: Sequence[str]) -> Column:
+    """A literal array<string> that costs one plan node."""
+    return F.from_json(F.lit(json.dumps(list(values))), "array<string>")
+
+
+def bucket_of(value: Column, splits: Sequence[int] | Sequence[str]) -> Column:
+    """How many of the ascending `splits` are <= value, by binary search inside the JVM; null counts as below all."""
     if not splits:
         return F.lit(0)
-    steps, table = [], long_array(splits)
+    steps, table = [], (text_array if isinstance(splits[0], str) else long_array)(splits)
     step = 1 << (len(splits).bit_length() - 1)
     while step:
         steps.append(step)
@@ -87,6 +70,24 @@ def bucket_of(value: Column, splits: Sequence[int]) -> Column:
     )
 
 
+def text_quantiles(df: DataFrame, column: str, parts: int) -> list[str]:
+    """The distinct values of a string column, in byte order, at which 1/parts, 2/parts, ... of the non-null rows are reached.
+    Distinct values are counted and sorted by ranges; the ranges' sums (a number each) and the quantiles reach the driver."""
+    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
+    ranges = counts.repartitionByRange(shuffle_partitions(df.sparkSession), "v").withColumn("p", F.spark_partition_id())
+    table = materialise(ranges, "distinct-values")
+    sums = {r["p"]: r["n"] for r in table.groupBy("p").agg(F.sum("n").alias("n")).collect()}
+    starts, total = [0] * (max(sums, default=0) + 1), 0
+    for p in sorted(sums):
+        starts[p], total = total, total + sums[p]
+    if not total:
+        return []
+    within = F.sum("n").over(Window.partitionBy("p").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    reached = table.select("v", (within + F.element_at(long_array(starts), F.col("p") + 1)).alias("upto"))
+    found = reached.agg(*[F.min(F.when(F.col("upto") * parts >= total * i, F.col("v"))).alias(f"q{i}") for i in range(1, parts)]).first()
+    return sorted(set(found), key=str.encode)
+
+
 def storage(uri: str):
     """(file system, path) of pyarrow for a folder of the cluster: file, hdfs, s3, gs, or a plain local path."""
     import pyarrow.fs as pafs
@@ -98,5 +99,17 @@ def storage(uri: str):
     return pafs.FileSystem.from_uri(uri)
 
 
+def text_hash(docs: DataFrame) -> Column:
+    """A bigint hash of `docs`' text; null counts as empty. Rows are told apart by doc_id and it."""
+    return F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+
+
+def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """The rows of `docs`, with all its columns, that `rejected` (doc_id, text_hash) doesn't name; null ids compare equal."""
+    bad = rejected.select(F.col("doc_id").alias("_rejected_id"), F.col("text_hash").alias("_rejected_hash")).distinct()
+    bad = materialise(bad, "rejected")
+    return docs.join(bad, docs["doc_id"].cast("bigint").eqNullSafe(bad["_rejected_id"]) & (text_hash(docs) == bad["_rejected_hash"]), "left_anti")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -8,7 +8,6 @@ compact box of every dimension and readers skip shards by its bounds. All of it
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 from functools import lru_cache
 
@@ -16,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinlake.llm.common import bucket_of, documents, global_rank, long_array, materialise
+from kinlake.llm.common import bucket_of, documents, global_rank, long_array, materialise, text_quantiles
 
 BITS = 5
 SHARDS = 24
@@ -60,45 +59,40 @@ def hilbert_index(point: str, dims: int, bits: int = BITS) -> Column:
 
 
 def quantised(df: DataFrame, dims: Sequence[str], bits: int = BITS) -> list[Column]:
-    """Each dimension's cell: how many of 2^bits - 1 quantiles are at most the value. Strings count by the six bytes
-    after the prefix that all share, in byte order; nulls are in cell 0. Quantiles are mergeable sketches (one small
-    array a dimension reaches the driver)."""
+    """Each dimension's cell: how many of 2^bits - 1 quantiles are at most the value, strings in byte order; nulls are in cell
+    0. Numbers' quantiles are mergeable sketches, strings' come from counts of distinct values; a few values a dimension
+    reach the driver."""
     kinds = {f.name: f.dataType for f in df.schema.fields}
     texts = [d for d in dims if isinstance(kinds[d], T.StringType)]
-    bounds = df.agg(*[f(d).alias(f"{d}_{n}") for d in texts for n, f in (("lo", F.min), ("hi", F.max))] or [F.lit(0)]).first()
-    keys: dict[str, Column] = {}
-    for d in dims:
-        if d in texts:
-            lo, hi = bounds[f"{d}_lo"] or "", bounds[f"{d}_hi"] or ""
-            skip = len(os.path.commonprefix([lo.encode(), hi.encode()]))
-            six = F.rpad(F.hex(F.substring(F.encode(d, "UTF-8"), skip + 1, 6)), 12, "0")
-            keys[d] = F.conv(six, 16, 10).cast("bigint")
-        else:
-            keys[d] = F.col(d).cast("bigint")
-    n = 1 << bits
-    found = df.agg(*[F.percentile_approx(keys[d], [i / n for i in range(1, n)], 10_000).alias(d) for d in dims]).first()
-    return [F.coalesce(bucket_of(keys[d], sorted(set(found[d] or []))), F.lit(0)) for d in dims]
+    n, found = 1 << bits, {d: text_quantiles(df, d, 1 << bits) for d in texts}
+    numbers = [d for d in dims if d not in texts]
+    if numbers:
+        r = df.agg(*[F.percentile_approx(F.col(d).cast("bigint"), [i / n for i in range(1, n)], 10_000).alias(d) for d in numbers]).first()
+        found |= {d: sorted(set(r[d] or [])) for d in numbers}
+    return [F.coalesce(bucket_of(F.col(d) if d in texts else F.col(d).cast("bigint"), found[d]), F.lit(0)) for d in dims]
 
 
 def shard(df: DataFrame, dims: Sequence[str], tie: Sequence[str], shards: int = SHARDS, bits: int = BITS) -> DataFrame:
     """Add hilbert, shard and slot (gapless from 0 in each shard) to `df`; shards' counts differ by one at most.
 
     `tie` orders rows of one cell; it should tell rows apart, so that a cell with a third of all rows is cut like any
-    other. Repeated rows lie side by side. An empty table gives no rows.
+    other. Repeated rows lie side by side. An empty table gives no rows. Columns of `df` that have one of the three names
+    come back with `_input` added to theirs.
     """
+    taken = {c: f"{c}_input" for c in df.columns if c in ("hilbert", "shard", "slot")}
+    df, dims, tie = df.withColumnsRenamed(taken), [taken.get(c, c) for c in dims], [taken.get(c, c) for c in tie]
     cells = F.array(*[c.cast("bigint") for c in quantised(df, dims, bits)])
     indexed = df.withColumn("_cells", cells).withColumn("hilbert", hilbert_index("_cells", len(dims), bits)).drop("_cells")
-    ranked = global_rank(indexed, ["hilbert", *tie], "hilbert")
+    ranked = global_rank(indexed, ["hilbert", *tie], "hilbert", "_place")
     n = ranked.count()
-    # Whole numbers throughout: floor(pos * shards / n), and the first position of a shard is ceil(shard * n / shards).
-    place = F.expr(f"(pos * {shards}) div {max(n, 1)}")
-    out = ranked.withColumn("shard", place.cast("int"))
+    # Whole numbers throughout: floor(place * shards / n), and the first place of a shard is ceil(shard * n / shards).
+    out = ranked.withColumn("shard", F.expr(f"cast((_place * {shards}) div {max(n, 1)} as int)"))
     first = F.expr(f"(cast(shard as bigint) * {n} + {shards - 1}) div {shards}")
-    return out.withColumn("slot", F.col("pos") - first).drop("pos")
+    return out.withColumn("slot", F.col("_place") - first).drop("_place")
 
 
 def bounds(sharded: DataFrame, dims: Sequence[str]) -> DataFrame:
-    """Per shard: rows, and min_ and max_ of each dimension: what a reader needs to skip shards."""
+    """Per shard: rows, and min_ and max_ of each dimension: what a reader needs to skip shards. Shards without rows have none."""
     return sharded.groupBy("shard").agg(F.count("*").alias("rows"), *[f(d).alias(f"{n}_{d}") for d in dims for n, f in (("min", F.min), ("max", F.max))])
 
 
@@ -108,6 +102,7 @@ def write(sharded: DataFrame, path: str) -> None:
 
 
 def op3_hilbert(spark, sf_dir: str) -> DataFrame:
+    """Every document's shard along the curve of source, language and size; see `shard`."""
     text = F.coalesce("text", F.lit(""))
     docs = documents(spark, sf_dir).select(
         F.col("doc_id").cast("bigint"), (F.octet_length(text) + 8).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"), "lang", "source"

@@ -2,9 +2,11 @@
 
 Each measure's distribution is kept as a DDSketch (Masson, Rim, Lee 2019): counts of logarithmic buckets, with
 a relative error of `ALPHA`. Sketches are plain grouped counts, so they merge by addition, in any order, with
-the same result: documents into (language, source), these into languages, these into one. A group's fences
-come from its quartiles, far enough out that ordinary spread stays inside; groups of fewer than `MIN_GROUP`
-documents take their language's, or the corpus's. Verdicts join the fences back to the documents.
+the same result: documents into (language, source), these into languages, these into one. Each level's sketch is
+then merged with its parent's, scaled to the weight of `PRIOR` documents: a group of any size has fences of its own,
+which go from its language's to its own documents' as it grows. A fence is an upper quantile of the group, or lies
+`reach` interquartile ranges beyond the quartile if that is farther: a measure that most documents don't show at
+all has no spread, and its quantile decides. Verdicts join the fences back to the documents.
 """
 
 from __future__ import annotations
@@ -14,15 +16,14 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinlake.llm.common import documents, materialise
+from kinlake.llm.common import documents, materialise, text_hash, without
 from kinlake.llm.textstats import text_stats
 
-ALPHA = 0.01
-MIN_GROUP = 200
-#: Fences lie this many interquartile ranges beyond the quartiles.
-REACH = 6.0
-#: Measure -> (spread that counts at least, as an interquartile range; whether low values are rejected too).
-MEASURES = {"symbols_per_word": (0.02, False), "dup_line_share": (0.06, False), "repeat_word_share": (0.034, False), "mean_word_length": (0.4, True)}
+ALPHA = 0.002
+#: Documents that a parent's sketch counts as in its children's.
+PRIOR = 100.0
+#: Measure -> (upper quantile, reach, whether low values are rejected too, below the lower quartile by the same reach).
+MEASURES = {"symbols_per_word": (0.95, 3.0, False), "dup_line_share": (0.995, 3.0, False), "repeat_word_share": (0.995, 3.0, False), "mean_word_length": (0.75, 2.0, True)}
 #: Groups whose fences are broadcast; beyond, the engine joins by shuffle and splits skewed keys.
 BROADCAST_GROUPS = 100_000
 
@@ -61,67 +62,76 @@ def merge(sketch: DataFrame, keys: list[str]) -> DataFrame:
     return sketch.groupBy(*keys, "measure", "bucket").agg(F.sum("count").alias("count"))
 
 
-def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, measure, n, q25, q75. A window holds one group's buckets: about 2,000, however many documents."""
+def shrunk(sketch: DataFrame, keys: list[str], parent: DataFrame, on: list[str], prior: float = PRIOR) -> DataFrame:
+    """The sketches of groups `keys` with their parents' added, each scaled to `prior` documents; null keys are groups too."""
+    total = Window.partitionBy(*on, "measure")
+    scaled = parent.withColumn("count", F.col("count") * F.lit(prior) / F.sum("count").over(total))
+    groups = sketch.select(*keys).distinct()
+    renamed = scaled.select(*[F.col(c).alias(f"_{c}") for c in on], "measure", "bucket", "count")
+    same = [groups[c].eqNullSafe(renamed[f"_{c}"]) for c in on]
+    every = groups.join(renamed, same, "inner") if same else groups.crossJoin(renamed)  # all groups have the one parent
+    own = sketch.select(*keys, "measure", "bucket", F.col("count").cast("double").alias("count"))
+    return merge(own.unionByName(every.select(*keys, "measure", "bucket", "count")), keys)
+
+
+def fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per group: high_<measure>, and low_<measure>. A window holds one group's buckets: some 4,000 at most, however
+    many documents."""
     w = Window.partitionBy(*keys, "measure").orderBy("bucket")
     total = F.sum("count").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    ranked = sketch.withColumn("upto", F.sum("count").over(w)).withColumn("n", total)
-    at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("n"), F.col("bucket")))
-    return ranked.groupBy(*keys, "measure").agg(F.max("n").alias("n"), value(at(0.25)).alias("q25"), value(at(0.75)).alias("q75"))
+    upto = F.sum("count").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = sketch.withColumn("_upto", upto).withColumn("_total", total)
+    of = lambda i: F.coalesce(*[F.when(F.col("measure") == m, F.lit(v[i])) for m, v in MEASURES.items()])
+    at = lambda q: value(F.min(F.when(F.col("_upto") >= q * F.col("_total"), F.col("bucket"))))
+    q = ranked.groupBy(*keys, "measure").agg(at(F.lit(0.25)).alias("q25"), at(F.lit(0.75)).alias("q75"), at(of(0)).alias("upper"))
+    spread = of(1) * (F.col("q75") - F.col("q25"))
+    rows = q.select(*keys, "measure", (F.col("q25") - spread).alias("low"), F.greatest("upper", F.col("q75") + spread).alias("high"))
+    pick = lambda m, side: F.max(F.when(F.col("measure") == m, F.col(side))).alias(f"{side}_{m}")
+    return rows.groupBy(*keys).agg(*[pick(m, s) for m, (_, _, low) in MEASURES.items() for s in (("low", "high") if low else ("high",))])
 
 
-def fences(quartiles_: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per group: n, and low_<measure> and high_<measure>."""
-    spread = F.greatest(F.col("q75") - F.col("q25"), F.coalesce(*[F.when(F.col("measure") == m, s) for m, (s, _) in MEASURES.items()]))
-    rows = quartiles_.select(*keys, "measure", "n", (F.col("q25") - REACH * spread).alias("low"), (F.col("q75") + REACH * spread).alias("high"))
-    pick = lambda m, side: F.max(F.when(F.col("measure") == m, F.col(side))).alias(f"{side}_{m}")
-    return rows.groupBy(*keys).agg(F.max("n").alias("n"), *[pick(m, s) for m, (_, low) in MEASURES.items() for s in (("low", "high") if low else ("high",))])
+def base_failed() -> Column:
+    """Too few words, or too many in repeated 5-word windows: these go whatever the group."""
+    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-def thresholds(stats: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
-    """Fences for every (lang, source) in `stats`: its own, or its language's, or the corpus's, whichever is the first
-    with `min_group` documents (the corpus's in any case). Null languages and sources are groups like any other."""
-    fine = materialise(sketches(stats, ["lang", "source"]), "sketches")
-    levels = []
-    for keys in (["lang", "source"], ["lang"], []):
-        sketch = fine if len(keys) == 2 else merge(fine, keys)
-        levels.append(fences(quartiles(sketch, keys), keys))
-    names = [c for c in levels[0].columns if c.startswith(("low_", "high_"))]
-    own, lang, every = (x.select(*keys, "n", F.struct(*names).alias("f")) for x, keys in zip(levels, (["lang", "source"], ["lang"], []), strict=True))
-    lang = lang.select(F.col("lang").alias("lang_"), F.col("n").alias("n_lang"), F.col("f").alias("f_lang"))
-    joined = own.join(lang, own["lang"].eqNullSafe(lang["lang_"]), "left").crossJoin(F.broadcast(every.select(F.col("f").alias("f_every"))))
-    best = F.when(F.col("n") >= min_group, F.col("f")).when(F.col("n_lang") >= min_group, F.col("f_lang")).otherwise(F.col("f_every"))
-    return joined.select("lang", "source", best.alias("f")).select("lang", "source", "f.*")
+def thresholds(stats: DataFrame, prior: float = PRIOR) -> DataFrame:
+    """lang, source and the fences of every such group in `stats`, learnt from its documents that are not `base_failed`; a
+    group without any has none. Null languages and sources are groups like any other."""
+    fine = materialise(sketches(stats.filter(~base_failed()), ["lang", "source"]), "sketches")
+    langs = merge(fine, ["lang"])
+    langs = materialise(shrunk(langs, ["lang"], merge(langs, []), [], prior), "language-sketches")
+    return fences(shrunk(fine, ["lang", "source"], langs, ["lang"], prior), ["lang", "source"])
 
 
-def judge(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
-    """doc_id, the statistics, base_failed, kept, and `failed`, the names of the fences that a row lies beyond.
+def judge(docs: DataFrame, prior: float = PRIOR) -> DataFrame:
+    """doc_id, text_hash, the statistics, base_failed, kept, and `failed`, the names of the fences that a row lies beyond.
 
     base_failed: under 10 words, or over a fifth of the words in repeated 5-word windows. kept: not base_failed and
-    inside every fence of its (lang, source). Each row comes back once, repeated rows too; null and empty texts
-    have no words and fail; an empty table gives no rows.
+    inside every fence of its (lang, source). Each row comes back once, repeated rows too, with equal verdicts; null and
+    empty texts have no words and fail; an empty table gives no rows; other columns are not read.
     """
-    spark = docs.sparkSession
-    stats = materialise(text_stats(docs, "lang", "source"), "text-stats")
-    limits = materialise(thresholds(stats, min_group), "thresholds")
+    rows = docs.select("doc_id", "lang", "source", "text", text_hash(docs).alias("text_hash"))
+    stats = materialise(text_stats(rows, "lang", "source", "text_hash"), "text-stats")
+    limits = materialise(thresholds(stats, prior), "thresholds")
     few = limits.count() <= BROADCAST_GROUPS
     limits = limits.withColumnRenamed("lang", "lang_").withColumnRenamed("source", "source_")
     joined = stats.join(F.broadcast(limits) if few else limits, stats["lang"].eqNullSafe(limits["lang_"]) & stats["source"].eqNullSafe(limits["source_"]), "left")
-    named = [F.when(c > F.col(f"high_{m}"), F.lit(f"high_{m}")) for m, c in measures().items()]
-    named += [F.when(measures()[m] < F.col(f"low_{m}"), F.lit(f"low_{m}")) for m, (_, low) in MEASURES.items() if low]
-    base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    # A sketch knows values to ALPHA of themselves: beyond a fence is what lies in a bucket beyond it.
+    named = [F.when(value(bucket(c)) > F.col(f"high_{m}"), F.lit(f"high_{m}")) for m, c in measures().items()]
+    named += [F.when(value(bucket(measures()[m])) < F.col(f"low_{m}"), F.lit(f"low_{m}")) for m, (_, _, low) in MEASURES.items() if low]
+    base = base_failed()
     return joined.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "doc_id", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         base.alias("base_failed"), (~base & (F.size(F.array_compact(F.array(*named))) == 0)).alias("kept"), F.array_compact(F.array(*named)).alias("failed"),
     )
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that are kept, with all its columns. Rows are known by doc_id: of rows that share one, all go if
-    one of them fails. Rows with a null doc_id are judged as one document each time and go if any of them fails."""
-    bad = materialise(judge(docs).filter("NOT kept").select(F.col("doc_id").alias("_bad")).distinct(), "rejected")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    """The rows of `docs` that are kept, with all its columns. Rows are known by doc_id, null or not, and text."""
+    return without(docs, judge(docs).filter("NOT kept"))
 
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
-    return judge(documents(spark, sf_dir)).withColumn("failed", F.concat_ws(",", "failed"))
+    """Every document's statistics and verdict; see `judge`."""
+    return judge(documents(spark, sf_dir)).drop("text_hash").withColumn("failed", F.concat_ws(",", "failed"))
