@@ -1,10 +1,12 @@
 """Quality classifier with hierarchical empirical Bayes over sites.
 
 A logistic model, fitted on a bounded sample of labelled rows, gives each document's own log odds. Hosts and
-paths add what their other documents say: their expected good documents are binomial evidence, shrunk with a
-beta prior towards the level above (path to host, host to the whole), so that a site with few documents stays
-near its parent. The prior's strength comes from the spread of the sites' rates beyond sampling noise (method
-of moments). A document's posterior log odds are its own plus its path's shift from the global rate.
+paths add what their other documents say, the document itself left out: their expected good documents are binomial
+evidence, shrunk with a beta prior towards the level above (path to host, host to the whole), so that a site with few
+documents stays near its parent. The prior's strength comes from the spread of the sites' rates beyond sampling
+noise (method of moments); without such a spread sites say nothing. The parent counts as one document at least. A
+document's posterior log odds are its own plus its path's shift from the global rate, times a trust between 0 and 1 that
+the labelled sample gives the shifts: where sites tell nothing of quality, they decide nothing.
 """
 
 from __future__ import annotations
@@ -13,17 +15,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinlake.llm.common import documents, materialise
+from kinlake.llm.common import documents, materialise, text_hash, without
 from kinlake.llm.textstats import text_stats
 
 #: Labelled rows for the fit: those of the smallest hashes of doc_id.
 SAMPLE = 20_000
 #: Documents are rejected below this posterior probability of being good.
 CUT = 0.5
-#: A site's shift of the log odds stays within this, so that evidence of the document itself decides first.
-MAX_SHIFT = 2.0
-#: Bounds of a prior's strength in documents.
-STRENGTH = (10.0, 10_000.0)
 #: Sites whose posteriors are broadcast; beyond, the engine joins by shuffle and splits skewed keys.
 BROADCAST_SITES = 100_000
 
@@ -64,67 +62,89 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def shrunk(sites: DataFrame, prior: Column) -> tuple[DataFrame, Column]:
-    """`sites` (good, n) and the posterior rate of each with the given prior mean. The prior's strength is
-    m(1-m)/v - 1, where v is the weighted variance of the rates less its part from sampling."""
+def strength(sites: DataFrame, prior: Column) -> float:
+    """How many documents the prior with mean `prior` counts as, for `sites` (good, n): m(1-m)/v - 1, where v is the weighted
+    variance of the rates less its part from sampling; one at least, infinity if v is not above zero."""
     rate = F.col("good") / F.col("n")
     m = prior
-    moments = sites.filter("n > 1").agg(
-        F.sum(F.col("n") * (rate - m) * (rate - m)).alias("a"), F.sum(m * (1 - m)).alias("b"), F.sum("n").alias("n"), F.avg(m * (1 - m)).alias("c")
-    ).first()
-    strength = STRENGTH[1]
-    if moments["n"]:
-        between = ((moments["a"] or 0) - (moments["b"] or 0)) / moments["n"]
-        strength = min(max((moments["c"] or 0) / between - 1, STRENGTH[0]), STRENGTH[1]) if between > 0 else STRENGTH[1]
-    return sites, (F.col("good") + strength * m) / (F.col("n") + strength)
+    moments = sites.agg(F.sum(F.col("n") * (rate - m) * (rate - m)).alias("a"), F.sum(m * (1 - m)).alias("b"), F.sum("n").alias("n"), F.avg(m * (1 - m)).alias("c")).first()
+    if not moments["n"] or moments["a"] <= moments["b"]:
+        return float("inf")
+    return max(moments["c"] * moments["n"] / (moments["a"] - moments["b"]) - 1, 1.0)
+
+
+def shrunk(good: Column, n: Column, prior: Column, k: float) -> Column:
+    """The posterior rate of `good` in `n` documents."""
+    return prior if k == float("inf") else (good + k * prior) / (n + k)
+
+
+def trust(own: np.ndarray, shift: np.ndarray, y: np.ndarray) -> float:
+    """The factor in [0, 1] of the sites' shifts that makes the labels most likely, given the documents' own log odds. The
+    likelihood is concave in it."""
+    gain = lambda f: float(np.sum((y - 1 / (1 + np.exp(-np.clip(own + f * shift, -30, 30)))) * shift))
+    if not len(y) or gain(0.0) <= 0:
+        return 0.0
+    if gain(1.0) >= 0:
+        return 1.0
+    low, high = 0.0, 1.0
+    for _ in range(40):
+        low, high = ((low + high) / 2, high) if gain((low + high) / 2) > 0 else (low, (low + high) / 2)
+    return low
 
 
 def score(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, host, path, own_probability, host_rate, path_rate, probability and kept for each row of `docs`.
+    """doc_id, text_hash, host, path, own_probability, host_rate, path_rate, probability and kept for each row of `docs`.
 
-    labels: doc_id, quality (0 or 1; rows with a null are skipped). host and path are columns of `docs`; by default
-    the source, and the source with the language. Nulls in them are sites of their own ('?'). A null text counts as
-    empty. Without labels every document's own probability is 0.5, and at 0.5 it is kept. Repeated rows come
-    back as often as they are there; an empty table gives no rows.
+    labels: doc_id, quality (0 or 1; rows with a null are skipped; of several for a doc_id the least counts). host and path
+    are columns of `docs`; by default the source, and the source with the language. Nulls in them are sites of their own
+    ('?'). The rates are those of the site's other rows. A null text counts as empty. Without labels every document's
+    own probability is 0.5, and at 0.5 it is kept. Repeated rows come back as often as they are there; an empty table gives
+    no rows.
     """
     host = F.coalesce(F.col("source") if host is None else host, F.lit("?"))
     path = F.coalesce(F.concat_ws("/", F.coalesce("source", F.lit("?")), F.coalesce("lang", F.lit("?"))) if path is None else path, F.lit("?"))
-    rows = docs.select("doc_id", "text", host.alias("host"), path.alias("path"))
-    table = materialise(text_stats(rows, "host", "path").select("doc_id", "host", "path", F.array(*features()).alias("x")), "evidence")
+    rows = docs.select("doc_id", "text", host.alias("host"), path.alias("path"), text_hash(docs).alias("text_hash"))
+    table = materialise(text_stats(rows, "host", "path", "text_hash").select("doc_id", "text_hash", "host", "path", F.array(*features()).alias("x")), "evidence")
 
     known = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = table.join(chosen, "doc_id").select("x", "quality").limit(2 * sample).collect()  # the sample; repeated rows may double it
+    chosen = materialise(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "sample")
+    rows = table.join(chosen, "doc_id").groupBy("doc_id").agg(F.min(F.struct("x", "quality")).alias("r")).select("r.*").orderBy("x", "quality").collect()  # `sample` rows at most
     w = fit(np.array([r["x"] for r in rows], dtype=float).reshape(-1, len(FEATURES)), np.array([r["quality"] for r in rows], dtype=float))
 
     logit = sum((F.element_at("x", i + 1) * float(c) for i, c in enumerate(w[:-1])), F.lit(float(w[-1])))
-    own = table.select("doc_id", "host", "path", F.greatest(F.least(logit, F.lit(30.0)), F.lit(-30.0)).alias("own"))
+    own = table.select("doc_id", "text_hash", "host", "path", F.greatest(F.least(logit, F.lit(30.0)), F.lit(-30.0)).alias("own"))
     p = 1 / (1 + F.exp(-F.col("own")))
 
     # Sums per path first, with partial sums in every task: a host with a third of the rows is as small as any.
-    paths = materialise(own.groupBy("host", "path").agg(F.sum(p).alias("good"), F.count("*").alias("n")), "sites")
-    total = paths.agg(F.sum("good").alias("good"), F.sum("n").alias("n")).first()
-    if not total["n"]:
-        base = 0.5
-    else:
-        base = min(max(total["good"] / total["n"], 1e-6), 1 - 1e-6)
-    hosts, rate = shrunk(paths.groupBy("host").agg(F.sum("good").alias("good"), F.sum("n").alias("n")), F.lit(base))
-    hosts = hosts.select("host", rate.alias("host_rate"))
-    sites, rate = shrunk(materialise(paths.join(hosts, "host"), "path-priors"), F.col("host_rate"))
-    sites = materialise(sites.select("host", "path", "host_rate", rate.alias("path_rate")), "posteriors")
+    sites = materialise(own.groupBy("host", "path").agg(F.sum(p).alias("good"), F.count("*").alias("n")), "sites")
+    hosts = materialise(sites.groupBy("host").agg(F.sum("good").alias("host_good"), F.sum("n").alias("host_n")), "hosts")
+    total = hosts.agg(F.sum("host_good").alias("good"), F.sum("host_n").alias("n")).first()
+    base = min(max(total["good"] / total["n"], 1e-6), 1 - 1e-6) if total["n"] else 0.5
+    k_host = strength(hosts.select(F.col("host_good").alias("good"), F.col("host_n").alias("n")), F.lit(base))
+    sites = materialise(sites.join(hosts, "host").withColumn("prior", shrunk(F.col("host_good"), F.col("host_n"), F.lit(base), k_host)), "site-priors")
+    k_path = strength(sites, F.col("prior"))
     few = sites.count() <= BROADCAST_SITES
 
-    shift = F.greatest(F.least(_logit(F.greatest(F.least("path_rate", F.lit(1 - 1e-6)), F.lit(1e-6))) - float(np.log(base / (1 - base))), F.lit(MAX_SHIFT)), F.lit(-MAX_SHIFT))
-    joined = own.join(F.broadcast(sites) if few else sites, ["host", "path"], "left")
-    probability = 1 / (1 + F.exp(-(F.col("own") + shift)))
-    return joined.select("doc_id", "host", "path", p.alias("own_probability"), "host_rate", "path_rate", probability.alias("probability"), (probability >= CUT).alias("kept"))
+    joined = own.withColumn("p", p).join(F.broadcast(sites) if few else sites, ["host", "path"])
+    joined = joined.withColumn("host_rate", shrunk(F.col("host_good") - F.col("p"), F.col("host_n") - 1, F.lit(base), k_host))
+    joined = joined.withColumn("path_rate", shrunk(F.col("good") - F.col("p"), F.col("n") - 1, F.col("host_rate"), k_path))
+    shift = _logit(F.greatest(F.least("path_rate", F.lit(1 - 1e-6)), F.lit(1e-6))) - float(np.log(base / (1 - base)))
+    joined = joined.withColumn("shift", shift)
+    factor = 0.0
+    if k_host != float("inf") or k_path != float("inf"):
+        joined = materialise(joined, "shifts")
+        known = joined.join(chosen, "doc_id").groupBy("doc_id").agg(F.min(F.struct("own", "shift", "quality")).alias("r")).select("r.*")
+        rows = np.array([tuple(r) for r in known.orderBy("own", "shift", "quality").collect()], dtype=float).reshape(-1, 3)  # the sample again
+        factor = trust(*rows.T)
+    probability = 1 / (1 + F.exp(-(F.col("own") + factor * F.col("shift"))))
+    return joined.select("doc_id", "text_hash", "host", "path", F.col("p").alias("own_probability"), "host_rate", "path_rate", probability.alias("probability"), (probability >= CUT).alias("kept"))
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of `docs` that are kept, with all its columns; of rows that share a doc_id all go if one is rejected."""
-    bad = materialise(score(docs, labels).filter("NOT kept").select(F.col("doc_id").alias("_bad")).distinct(), "rejected")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    """The rows of `docs` that are kept, with all its columns. Rows are known by doc_id, null or not, and text."""
+    return without(docs, score(docs, labels).filter("NOT kept"))
 
 
 def op10_site_bayes(spark, sf_dir: str) -> DataFrame:
-    return score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    """Every document's probability of being good, and verdict; see `score`."""
+    return score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("text_hash")
