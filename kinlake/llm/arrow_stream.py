@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinlake.llm.common import documents, materialise, new_folder, shuffle_partitions, storage
-from kinlake.llm.tokens import encoder, vocabulary
+from kinlake.llm.tokens import encoder, vocabulary, vocabulary_size
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
@@ -44,6 +44,8 @@ class StreamWriter:
         self.kind, self.parts, self.held, self.total = np.uint32 if wide else np.uint16, [], 0, 0
 
     def append(self, ids: np.ndarray) -> None:
+        if len(ids) and int(ids.max()) > np.iinfo(self.kind).max:
+            raise ValueError(f"id {int(ids.max())} does not fit the file's {self.kind.__name__} ids")
         self.parts.append(ids.astype(self.kind))
         self.held += len(ids)
         self.total += len(ids)
@@ -111,15 +113,18 @@ class StreamReader:
         return ids.to_numpy(zero_copy_only=True), mask.to_numpy(zero_copy_only=False)
 
 
-def write(docs: DataFrame, folder: str | None = None, vocabulary_name: str = VOCABULARY, end_id: int = END_ID, length: int = LENGTH, wide: bool = False) -> DataFrame:
+def write(docs: DataFrame, folder: str | None = None, vocabulary_name: str = VOCABULARY, end_id: int = END_ID, length: int = LENGTH, wide: bool | None = None) -> DataFrame:
     """Write `docs` and return the manifest: part, file, documents, tokens, start (tokens of earlier files).
 
     Documents are dealt out by ranges of doc_id (then of the text's hash), nulls first, sorted, encoded whole
     and written by the task that sorted them. A file is named afresh by each attempt, and only the manifest, a
     written table, says which files count: a repeated task leaves an orphan and no damage. A null text is
-    empty: its end id alone. `wide` stores 32-bit ids, for vocabularies over 65,536.
+    empty: its end id alone. Repeated rows are written as often as they come, and an empty table gives no file. `wide`
+    stores 32-bit ids; by default, those of vocabularies that 16 bits don't hold.
     """
     spark = docs.sparkSession
+    if wide is None:
+        wide = max(vocabulary_size(vocabulary(vocabulary_name)), end_id + 1) > 1 << 16
     folder = folder or new_folder(spark, "token-stream")
     n = shuffle_partitions(spark)
     ordered = (
@@ -164,7 +169,8 @@ def write(docs: DataFrame, folder: str | None = None, vocabulary_name: str = VOC
 
 
 def read(spark: SparkSession, manifest: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document in the manifest's files, read batch by batch."""
+    """doc_id, start, n_tokens, ids_crc32 of every document in the manifest's files, read batch by batch. Repeated documents
+    come back as often as they were written, a null id as null; an empty manifest gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,5 +210,6 @@ def open_local(path: str) -> StreamReader:
 
 
 def op8_arrow_stream(spark, sf_dir: str) -> DataFrame:
+    """Every document's place in the stream files, read back from them; see `write` and `read`."""
     manifest = write(documents(spark, sf_dir))
     return read(spark, manifest.repartition(shuffle_partitions(spark)))

@@ -186,4 +186,5 @@ def pack_in_order(docs: DataFrame, position: str, capacity: int = CAPACITY, wind
 
 
 def op6_packing(spark, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence; see `pack`."""
     return pack(documents(spark, sf_dir))

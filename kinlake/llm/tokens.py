@@ -2,7 +2,8 @@
 
 A pretoken's ids depend on nothing around it, so a text is cut where pretokens surely end (before a
 space between two other characters, or between Latin letters and plain punctuation), each distinct unit
-is encoded once per Python worker by the tokenizers library, and the ids' bytes are joined.
+is encoded once per Python worker by the tokenizers library, and the ids' bytes are joined. A text that holds the
+string of a special token is encoded whole by the library, which gives such a string the token's id.
 """
 
 from __future__ import annotations
@@ -46,7 +47,10 @@ class CachedEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.special = [t.content for t in added]
+        #: A vocabulary that looks for special tokens in the normalised text gets every text whole.
+        self.whole = any(t.normalized for t in added)
         self.model = self.tokenizer.model
         self.lower = self.tokenizer.normalizer is not None
         self.find = (_WORD if self.lower else _BYTE).findall
@@ -54,6 +58,8 @@ class CachedEncoder:
 
     def __call__(self, text: str) -> bytes:
         """The text's ids as little-endian unsigned 32-bit integers."""
+        if self.whole or any(s in text for s in self.special):
+            return array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         units = self.find(text)
         got = list(map(self.units.get, units))
         if None in got:
@@ -85,6 +91,14 @@ def encoder(path: str) -> CachedEncoder:
     return CachedEncoder(path)
 
 
+@lru_cache(maxsize=8)
+def vocabulary_size(path: str) -> int:
+    """How many ids a vocabulary has, special tokens included."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True)
+
+
 def vocabulary(name: str) -> str:
     """Where this machine keeps a public tokenizer's file; called on the executors too."""
     import public_tokenizers
