@@ -5,7 +5,8 @@ Version 1 lines have 5 fields: URL, IP address, date, content type, length. Vers
 address, date, content type, result code, checksum, location, offset, file name, length. The converter
 follows each file's version, keeps bodies as they are, and synthesises WARC identifiers (name-based UUIDs of
 URL, date and payload digest), ISO timestamps, record types and SHA-1 digests. Of records whose payloads are
-equal, the one with the greatest page id stays a response and the others become revisits of it.
+equal, the one with the greatest page id stays a response and the others become revisits of it. Records without an
+HTTP head (`dns:` lookups, say) become resources of the content type that their header line names.
 """
 
 from __future__ import annotations
@@ -58,21 +59,30 @@ def arc_record(version: int, page_id: int | None, url: str | None, payload: byte
 
 
 class _Gunzip:
-    """Bytes of a multi-member gzip stream, with bounded read-ahead."""
+    """Bytes of a multi-member gzip stream, or of a plain one, with bounded read-ahead."""
 
     def __init__(self, raw):
-        self.raw, self.inner, self.have = raw, zlib.decompressobj(31), b""
+        self.raw, self.inner = raw, zlib.decompressobj(31)
+        self.first = raw.read(_CHUNK)
+        self.plain = self.first[:2] != b"\x1f\x8b"
+        self.have = self.first if self.plain else b""
 
     def read(self, n: int) -> bytes:
         out, size = [self.have], len(self.have)
         while size < n:
-            data = self.inner.unused_data if self.inner.eof else self.inner.unconsumed_tail
-            data = data or self.raw.read(_CHUNK)
-            if not data:
-                break
-            if self.inner.eof:
-                self.inner = zlib.decompressobj(31)
-            got = self.inner.decompress(data, _CHUNK)
+            if self.plain:
+                got = self.raw.read(_CHUNK)
+                if not got:
+                    break
+            else:
+                data = self.inner.unused_data if self.inner.eof else self.inner.unconsumed_tail
+                data = self.first or data or self.raw.read(_CHUNK)
+                self.first = b""
+                if not data:
+                    break
+                if self.inner.eof:
+                    self.inner = zlib.decompressobj(31)
+                got = self.inner.decompress(data, _CHUNK)
             out.append(got)
             size += len(got)
         whole = b"".join(out)
@@ -94,7 +104,7 @@ class _Gunzip:
 
 
 def parse_arc(raw) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields, body) of each record after the version block of a gzip ARC stream.
+    """(header fields, body) of each record after the version block of an ARC stream, gzip or plain.
 
     The block's own version decides how the lines are split. Fields are counted from the line's end, so that a
     URL with blanks stays whole. A line with too few fields, an odd length or a short body raises ValueError.
@@ -144,23 +154,25 @@ def iso_date(date: str) -> str:
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
-def record_id(page_id: int | None, header: dict[str, str], digest: str) -> str:
-    """The same for equal input on every run, and known to revisits of the record."""
+def record_id(page_id: int | None, header: dict[str, str], digest: str, place: str | None = None) -> str:
+    """The same for equal input on every run, and known to revisits of the record. `place`, a file and a number in it, tells
+    records apart that have page and payload in common, or no page id."""
     name = f"page:{page_id}:{digest}" if page_id is not None else f"{header['url']} {header['date']} {digest}"
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name if place is None else f'{name} {place}')}>"
 
 
-def warc_record(header: dict[str, str], body: bytes, refers_to: int | None) -> bytes:
+def warc_record(header: dict[str, str], body: bytes, refers_to: int | None, place: str | None = None) -> bytes:
     """The WARC record of an ARC record. A revisit keeps the HTTP head, whose Content-Length and the record's payload
-    digest tell of the payload it leaves out."""
+    digest tell of the payload it leaves out. A body without a head is a resource, and all of it payload."""
     head, payload = split_http(body)
     digest, page_id = payload_digest(payload), page_id_of(head)
     block = body if refers_to is None else head
+    kind, mime = ("response" if refers_to is None else "revisit", "application/http; msgtype=response") if head else ("resource", header["mime"])
     fields = [
-        ("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", record_id(page_id, header, digest)),
+        ("WARC-Type", kind), ("WARC-Record-ID", record_id(page_id, header, digest, place)),
         ("WARC-Date", iso_date(header["date"])), ("WARC-Target-URI", header["url"]), ("WARC-IP-Address", header["ip"]),
         ("WARC-Payload-Digest", f"sha1:{digest}"), ("WARC-Block-Digest", f"sha1:{payload_digest(block)}"),
-        ("Content-Type", "application/http; msgtype=response"), ("X-Payload-Length", str(len(payload))), ("Content-Length", str(len(block))),
+        ("Content-Type", mime), ("X-Payload-Length", str(len(payload))), ("Content-Length", str(len(block))),
     ]
     if page_id is not None:
         fields.insert(2, ("X-Page-Id", str(page_id)))
@@ -200,7 +212,7 @@ def _member(record: bytes) -> bytes:
 
 def write_arcs(pages: DataFrame, folder: str | None = None, version: int | None = None) -> DataFrame:
     """Write pages (page_id, url, html) as gzip ARC files, one a task, and return a table of their URIs. Null html is an
-    empty payload. version: 1, 2, or both in turn by default."""
+    empty payload. version: 1, 2, or both in turn by default. Repeated rows are repeated records; an empty table gives no file."""
     folder = folder or new_folder(pages.sparkSession, "arc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +239,8 @@ def write_arcs(pages: DataFrame, folder: str | None = None, version: int | None
 
 
 def index_arcs(files: DataFrame) -> DataFrame:
-    """file, record (its number there), page_id, payload_bytes, payload_digest: an index without payloads."""
+    """file, record (its number there), page_id (null without an HTTP head that has one), payload_bytes, payload_digest: an
+    index without payloads."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["file", "record", "page_id", "payload_bytes", "payload_digest"]
@@ -251,16 +264,21 @@ def convert(files: DataFrame, folder: str | None = None, min_bytes: int = MIN_BY
 
     Payloads never shuffle: an index of digests is grouped (partial maxima, so that a payload that a third of
     the records share is no hot key), decisions go back to their file by (file, record), and each file is
-    converted as it is read. Rows without a page id are responses.
+    converted as it is read. Records without a page id refer to none and are referred to by none. Where the greatest page
+    id repeats, all its records are responses, each with an id of its own, and revisits refer to the last of them. An
+    empty table gives no file.
     """
     spark = files.sparkSession
     folder = folder or new_folder(spark, "warc")
     index = materialise(index_arcs(files), "arc-index")
-    last = index.filter(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n"))
+    paged = index.filter((F.col("payload_bytes") >= min_bytes) & F.col("page_id").isNotNull())
+    last = paged.groupBy("payload_digest").agg(F.max(F.struct("page_id", "file", "record")).alias("last"), F.count("*").alias("n"))
     last = materialise(last.filter("n > 1"), "arc-repeats").select("payload_digest", "last")
-    decided = index.select("file", "record", "page_id", "payload_digest").join(last, "payload_digest", "left")
-    refers = F.when(F.col("last") != F.col("page_id"), F.col("last"))
-    decided = decided.select("file", "record", refers.alias("refers_to"))
+    decided = index.select("file", "record", "page_id", "payload_bytes", "payload_digest").join(last, "payload_digest", "left")
+    met = F.col("page_id").isNotNull() & (F.col("payload_bytes") >= min_bytes)
+    refers = F.when(met & (F.col("last.page_id") != F.col("page_id")), F.col("last.page_id"))
+    main = met & (F.col("last").isNull() | ((F.col("last.file") == F.col("file")) & (F.col("last.record") == F.col("record"))))
+    decided = decided.select("file", "record", refers.alias("refers_to"), main.alias("main"))
     # A stated number of partitions: rows are narrow, but each stands for a payload to convert, so they must not be coalesced.
     decided = decided.repartition(shuffle_partitions(spark), "file").sortWithinPartitions("file", "record")
 
@@ -277,7 +295,7 @@ def convert(files: DataFrame, folder: str | None = None, min_bytes: int = MIN_BY
             done.append(f"{folder}/{name}.warc.gz")
 
         for batch in batches:
-            for file, refers_to in zip(batch.column("file").to_pylist(), batch.column("refers_to").to_pylist(), strict=True):
+            for file, number, refers_to, main in zip(*(batch.column(c).to_pylist() for c in ("file", "record", "refers_to", "main")), strict=True):
                 if file != uri:
                     if uri is not None:
                         finish()
@@ -289,7 +307,7 @@ def convert(files: DataFrame, folder: str | None = None, min_bytes: int = MIN_BY
                     info = b"software: kinlake\r\nformat: WARC File Format 1.1\r\n"
                     head = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>\r\nWARC-Date: {iso_date(ARC_DATE)}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(info)}\r\n\r\n"
                     out.write(_member(head.encode() + info + b"\r\n\r\n"))
-                out.write(_member(warc_record(*next(records), refers_to)))
+                out.write(_member(warc_record(*next(records), refers_to, None if main else f"{file} {number}")))
         if uri is not None:
             finish()
         yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], names=["file"])
@@ -300,8 +318,8 @@ def convert(files: DataFrame, folder: str | None = None, min_bytes: int = MIN_BY
 def read_warcs(files: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, record_id, warc_date, url of each record but warcinfo.
 
-    A response's payload is measured and digested anew and must agree with its header; a revisit tells of the
-    payload that it refers to.
+    A response's or resource's payload is measured and digested anew and must agree with its header; a revisit tells of
+    the payload that it refers to. Repeated records come back as often as they are there; no files give no rows.
     """
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "warc_date", "url"]
@@ -318,7 +336,7 @@ def read_warcs(files: DataFrame) -> DataFrame:
                         head, payload = split_http(block)
                         digest = f["warc-payload-digest"].removeprefix("sha1:")
                         size = int(f["x-payload-length"])
-                        if f["warc-type"] == "response":
+                        if f["warc-type"] != "revisit":
                             if (len(payload), payload_digest(payload)) != (size, digest):
                                 raise ValueError(f"{uri}: payload and header disagree")
                         page, refers = (int(f[k]) if k in f else None for k in ("x-page-id", "x-refers-to-page-id"))
@@ -330,6 +348,7 @@ def read_warcs(files: DataFrame) -> DataFrame:
 
 
 def op9_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, read back from the WARC files that its ARC files become; see `convert`."""
     arcs = write_arcs(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     n = shuffle_partitions(spark)
     warcs = convert(arcs.repartition(n))
