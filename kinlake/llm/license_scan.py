@@ -180,6 +180,7 @@ def _words(grams: list[str]) -> Column:
 
 
 def op1_license_scan(spark, sf_dir: str) -> DataFrame:
+    """Every unit of a document that matches a licence; see `scan`."""
     return scan(documents(spark, sf_dir))
 
 

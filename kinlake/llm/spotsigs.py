@@ -129,6 +129,7 @@ def with_next(docs: DataFrame, columns: list[str], buckets: int | None = None) -
 
 
 def op2_spotsigs(spark, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint, its edited text's, and their likeness; see `likeness`."""
     docs = documents(spark, sf_dir).select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text"))
     docs = with_next(with_signatures(docs), ["text", "sigs"])
     n = F.length("text")
