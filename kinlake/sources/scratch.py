@@ -10,19 +10,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. Where that is unset, a local run has one of its own; a cluster has none that all see."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = os.path.join(tempfile.gettempdir(), "checkpoints")
         os.makedirs(base, exist_ok=True)
     return base.rstrip("/")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has used before."""
     return f"{shared_dir(spark)}/kinlake/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Written and read back: lineage ends in shared storage."""
+    """Write df as a Parquet table in the shared folder and read it back: lineage ends in replicated storage, so that a lost
+    executor costs no recomputation and partition-dependent ids stay as they are."""
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
