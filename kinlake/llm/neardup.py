@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinlake.llm import simhash
-from kinlake.llm.common import materialise
+from kinlake.llm.common import materialise, text_hash
 
 WORDS = 5
 BITS = 192
@@ -38,6 +38,8 @@ SURE = 16
 SKETCH = 2048
 #: Least estimate that links: 0.8 less a deviation or so, since half of the pairs at 0.8 are estimated below it.
 SIMILARITY = 0.79
+#: Ids (16 bytes each) that are broadcast to the texts, of fingerprints to look at and of rows to drop; more are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
 
 _LANES = [f"f{i}" for i in range(BITS // 64)]
 _LAYOUT = simhash._layout(BITS, SEGMENTS)
@@ -285,40 +287,48 @@ def _sketches(sets: list[np.ndarray]) -> list[pa.Array]:
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, hash (of the text; null is empty) and text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("hash"), text.alias("text"))
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_hash(docs).alias("hash"), text.alias("text"))
 
 
-def groups(docs: DataFrame, block: int = simhash.BLOCK) -> DataFrame:
-    """doc_id, hash (see `keyed`), and group of every row of `docs`: rows of one group are near-duplicates, directly or by
-    others. Rows that share a doc_id are told apart by their texts; blank and null texts are one group. Other columns are
-    not read; an empty table gives no rows."""
+def components_of(docs: DataFrame, block: int = simhash.BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Two tables: doc_id, hash (see `keyed`) and fingerprint of every row of `docs`; and of every distinct fingerprint, with its
+    first doc_id and hash, and `group`, a number that near-duplicates share."""
     rows = keyed(docs)
     prints = materialise(_mapped(rows, ", ".join(f"{n} bigint" for n in _LANES), _LANES, _fingerprints), "fingerprints")
     nodes = prints.groupBy(*_LANES).agg(F.min(F.struct("doc_id", "hash")).alias("r"))
     nodes = materialise(nodes.select(*_LANES, "r.doc_id", "r.hash", F.monotonically_increasing_id().alias("node")), "nodes")
     found = materialise(candidates(nodes, block), "candidates")
     apart = found.filter("b IS NULL").select(F.col("a").alias("node"), "key", "slot", "side")
-    shown = nodes.join(apart.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "hash")
-    texts = rows.join(shown.select("doc_id", "hash").distinct(), ["doc_id", "hash"], "left_semi")
+    shown = materialise(nodes.join(apart.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "hash"), "looked-at")
+    few = F.broadcast(shown) if shown.count() <= BROADCAST_ROWS else shown
+    texts = rows.join(few.select("doc_id", "hash"), ["doc_id", "hash"], "left_semi")
     sketches = materialise(_mapped(texts, "sketch binary", ["sketch"], _sketches).dropDuplicates(["doc_id", "hash"]), "sketches")
     sketches = sketches.join(shown, ["doc_id", "hash"]).select("node", "sketch")
     links = found.filter("b IS NOT NULL").select("a", "b").unionByName(sketch_links(apart.join(sketches, "node")))
     joined = simhash.components(links)
-    classes = nodes.join(joined, "node", "left").select(*_LANES, F.coalesce("component", "node").alias("group"))
-    return prints.join(materialise(classes, "classes"), _LANES).select("doc_id", "hash", "group")
+    classes = nodes.join(joined, "node", "left").select(*_LANES, "doc_id", "hash", F.coalesce("component", "node").alias("group"))
+    return prints, materialise(classes, "classes")
+
+
+def groups(docs: DataFrame, block: int = simhash.BLOCK) -> DataFrame:
+    """doc_id, hash (see `keyed`), and group of every row of `docs`: rows of one group are near-duplicates, directly or by
+    others. Rows that share a doc_id are told apart by their texts; blank and null texts are one group. Other columns are
+    not read; an empty table gives no rows."""
+    prints, classes = components_of(docs, block)
+    return prints.join(classes.select(*_LANES, "group"), _LANES).select("doc_id", "hash", "group")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One row of each group of near-duplicates, with all columns of `docs`: that of the smallest doc_id (then of the
     smallest hash of the text); of rows that repeat doc_id and text, one. Rows with a null doc_id stay, as no
     decision names them. Null and blank texts are one group. An empty table gives no rows."""
-    known = materialise(groups(docs.filter("doc_id IS NOT NULL")), "groups")
-    best = known.groupBy("group").agg(F.min(F.struct("doc_id", "hash")).alias("k"))
-    rows = known.groupBy("doc_id", "hash", "group").agg(F.count("*").alias("n")).join(best, "group")
-    stays = F.col("k") == F.struct("doc_id", "hash")
-    drop = rows.select(F.col("doc_id").alias("_dropped_id"), F.col("hash").alias("_dropped_hash"), stays.alias("_stays"), "n").filter("NOT _stays OR n > 1").drop("n")
+    prints, classes = components_of(docs.filter("doc_id IS NOT NULL"))
+    best = classes.groupBy("group").agg(F.min(F.struct("doc_id", "hash")).alias("k")).select("k.*", F.lit(True).alias("_stays"))
+    rows = prints.groupBy("doc_id", "hash").agg(F.count("*").alias("n")).join(best, ["doc_id", "hash"], "left").na.fill(False, ["_stays"])
+    drop = rows.filter("NOT _stays OR n > 1").select(F.col("doc_id").alias("_dropped_id"), F.col("hash").alias("_dropped_hash"), "_stays")
     drop = materialise(drop, "decisions")
-    here = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    drop = F.broadcast(drop) if drop.count() <= BROADCAST_ROWS else drop
+    here = text_hash(docs)
     same = lambda df: (docs["doc_id"].cast("bigint") == df["_dropped_id"]) & (here == df["_dropped_hash"])
     kept = docs.join(drop, same(drop), "left_anti")  # null ids stay
     again = drop.filter("_stays")

@@ -3,13 +3,14 @@
 import hashlib
 import random
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from kinlake.llm import arc_warc, arrow_stream, common, hilbert, license_scan, packing, pfair, quality_rules, simhash, site_bayes, spotsigs, textstats
+from kinlake.llm import arc_warc, arrow_stream, common, hilbert, license_scan, neardup, packing, pfair, quality_rules, simhash, site_bayes, spotsigs, textstats
 from kinlake.llm.tokens import CachedEncoder, vocabulary
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, key string, pos int, node int, slot int, part int, bucket int"
@@ -57,7 +58,6 @@ def plain():
 
     def of(name):
         t = Tokenizer.from_file(vocabulary(name))
-        t.encode_special_tokens = True
         return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
     return of
@@ -67,7 +67,7 @@ def plain():
 def test_cached_ids(plain, name):
     cached, ids, rng = CachedEncoder(vocabulary(name)), plain(name), random.Random(5)
     letters = "abQİĿŉǅ éÉß.,\n\t  '’s 12²½<|endoftext|>  中文Ünǘ \x1c\x85 A don't I'LL"
-    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 50))) for _ in range(4000)] + ["", " ", " a", "a ", "a  b", "<|endoftext|>"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 50))) for _ in range(4000)] + ["", " ", " a", "a ", "a  b", "<|endoftext|>", "hello  <|endoftext|> world", "It's<|startoftext|><|endoftext|> \n"]
     for t in texts:
         assert cached(t) == np.array(ids(t), dtype="<u4").tobytes(), repr(t)
 
@@ -170,57 +170,118 @@ def test_links_are_exact(spark):
 
 
 def test_deduplicate(docs, rows):
-    kept = simhash.deduplicate(docs)
+    kept = neardup.deduplicate(docs)
     assert kept.columns == docs.columns
     ids = [r["doc_id"] for r in kept.collect()]
     assert len(ids) == len(set(ids)) and None in ids
     assert 5 in ids and not set(range(200, 240)) & set(ids)  # copies go
     assert {r[0] for r in rows if r[0] is not None and 10 <= r[0] < 150} <= set(ids)  # other texts stay
     assert len({300 + k for k in range(20)} & set(ids)) < 10
+    assert neardup.deduplicate(empty(docs)).count() == 0
 
 
-def test_similar_groups(spark):
-    """Against Jaccard similarities of all pairs: the small table's documents, and near copies in a run of more than 64."""
-    rng = random.Random(3)
-    texts = {r["doc_id"]: r["text"] or "" for r in common.documents(spark, "/root/testdata/sf0.001").collect()}
-    base = prose(rng, 90).split()
-    for k in range(120):
-        w = list(base)
-        for at in rng.sample(range(90), rng.randint(0, 3)):
-            w[at] = f"x{rng.randint(0, 10**6)}"
-        texts[10**6 + k] = " ".join(w)
-    sets = {d: set(simhash.shingles(t, 5)) for d, t in texts.items()}
-    parent = {d: d for d in sets}
+def test_deduplicate_tells_rows_apart_by_text(spark):
+    rng = random.Random(8)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    rows = [(1, a, 1), (1, b, 2), (1, a, 3), (2, a, 4), (3, b, 5), (4, c, 6), (5, None, 7), (6, " ", 8), (None, a, 9), (None, a, 10)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _stays int")
+    got = neardup.deduplicate(docs).collect()
+    assert docs.columns == list(got[0].asDict())
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=repr) == sorted([(1, a), (1, b), (4, c), (5, None), (None, a), (None, a)], key=repr)
 
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
 
-    for a in sets:
-        for b in sets:
-            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
-                x, y = sorted((find(a), find(b)))
-                parent[y] = x
-    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
-    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(docs, 5, 192, 60, 12, 0.8).collect()}
-    assert got == {d: find(d) for d in sets}
-    assert simhash.similar_groups(docs.filter("1 = 0"), 5, 192, 60, 12, 0.8).count() == 0
+def edited(rng, words, share):
+    """A copy with some words replaced."""
+    return " ".join(f"x{rng.randint(0, 10**9)}" if rng.random() < share else w for w in words)
 
 
-def test_pairs_that_the_forest_leaves_out(spark):
-    """A run of more than 64 whose nearest fingerprints are dissimilar, while others are alike."""
-    rng = random.Random(4)
+def jaccard(a, b):
+    return len(a & b) / max(len(a | b), 1)
+
+
+def test_near_duplicate_groups(spark):
+    """Against Jaccard similarities of all pairs: the small table's documents, and copies from close to loose."""
+    rng = random.Random(3)
+    texts = {r["doc_id"]: r["text"] or "" for r in common.documents(spark, "/root/testdata/sf0.001").collect()}
+    for n in range(150):
+        base, k = prose(rng, 120).split(), 10**6 + 2 * n
+        base = [f"{w}{rng.randint(0, 99)}" for w in base]
+        texts[k], texts[k + 1] = " ".join(base), edited(rng, base, rng.choice([0.002, 0.01, 0.02, 0.04, 0.08, 0.2]))
+    sets = {d: set(neardup.shingle_hashes(t).tolist()) for d, t in texts.items()}
+    got = {r["doc_id"]: r["group"] for r in neardup.groups(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()}
+    assert set(got) == set(texts)
+    ids = sorted(sets)
+    found = {True: [], False: []}
+    loose = []
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            j = jaccard(sets[a], sets[b])
+            if j >= 0.8 or not sets[a] and not sets[b]:
+                found[j >= 0.85].append(got[a] == got[b])
+            elif got[a] == got[b] and j < 0.72 and sets[a] and a >= 10**6:
+                loose.append((a, b, j))
+    assert all(found[True]) and len(found[True]) > 50 and sum(found[False]) >= 0.6 * len(found[False])
+    assert sum(sum(x) for x in found.values()) >= 0.9 * sum(map(len, found.values()))
+    assert not loose
+
+
+@pytest.mark.parametrize("share", [0.004, 0.05])
+def test_candidates_grow_with_the_members(spark, share):
+    """One group of 60, 600 and 3,000 near copies: rows in proportion, whether its members link or are too loose to."""
+    per_member = []
+    for size in (60, 600, 3000):
+        rng = random.Random(size)
+        base = [f"{w}{rng.randint(0, 999)}" for w in prose(rng, 100).split()]
+        docs = spark.createDataFrame([(k, edited(rng, base, share)) for k in range(size)], "doc_id bigint, text string")
+        prints, classes = neardup.components_of(docs)
+        nodes = classes.withColumn("node", F.col("doc_id"))
+        found = neardup.candidates(nodes)
+        per_member.append(found.count() / size)
+        assert per_member[-1] <= 193
+        if share < 0.01:
+            assert max(r["count"] for r in classes.groupBy("group").count().collect()) > 0.9 * classes.count()
+        elif size == 60:
+            assert classes.select("group").distinct().count() > 50
+    assert per_member[2] <= 3 * per_member[1]
+
+
+def test_runs_of_any_size_link_alike(monkeypatch, spark):
+    """The way for long runs, taken for short ones too, gives the same groups."""
+    rng = random.Random(5)
+    f = np.array([[rng.getrandbits(64) for _ in range(3)] for _ in range(4)], dtype=np.uint64)
     rows = []
-    for k in range(100):
-        # Twins k and k + 1 differ in two bits at most, others in more; k is like k + 2, of the next pair.
-        x = sum(1 << b for b in random.Random(k // 2).sample(range(16, 64), 12)) | (k % 2) << 17
-        y = rng.getrandbits(1) << 20
-        rows.append((k, x if x < 1 << 63 else x - (1 << 64), y, 0, [10 * (k // 4 * 2 + k % 2) + i for i in range(10)]))
-    nodes = spark.createDataFrame(rows, "node bigint, f0 bigint, f1 bigint, f2 bigint, set array<bigint>")
-    sets = nodes.select(F.col("node").alias("doc_id"), "set")
-    got = {r["node"]: r["component"] for r in simhash.checked_groups(nodes, lambda ends: sets.join(ends, "doc_id", "left_semi"), 192, 60, 12, 0.8).collect()}
-    assert {k: got.get(k, k) for k in range(100)} == {k: k // 4 * 4 + k % 2 for k in range(100)}
+    for k in range(200):
+        x = f[k % 4].copy()
+        for b in rng.sample(range(192), rng.randint(0, 22)):
+            x[b // 64] ^= np.uint64(1 << b % 64)
+        rows.append(x)
+    f = np.array(rows)
+    slot = 5
+    side = neardup._sides(f, np.full(len(f), slot))
+    edges, apart = neardup._large_run(f, side, slot)
+    sure, near = [], []
+    for i in range(len(f)):
+        for j in range(i):
+            x = (f[i] ^ f[j])[None]
+            d = int(np.bitwise_count(x).sum())
+            if d <= neardup.DISTANCE and simhash._owned(x, slot, neardup._LAYOUT)[0]:
+                (sure if d <= neardup.SURE else near).append((i, j))
+    _, want = neardup._forest(iter(sure))
+    _, got = neardup._forest(iter(edges))
+    same = lambda root: {frozenset(x for x in root if root[x] == r) for r in set(root.values())}
+    assert same(want) == same(got) and sure and near
+    assert set(np.flatnonzero(apart)) == {x for p in near if want.get(p[0], p[0]) != want.get(p[1], p[1]) for x in p}
+
+
+def test_sketches_estimate_similarity():
+    rng, errors = random.Random(6), []
+    for n in (20, 100, 400):
+        for _ in range(40):
+            words = [f"w{rng.randint(0, 5000)}" for _ in range(n)]
+            a, b = (neardup.shingle_hashes(t) for t in (" ".join(words), edited(rng, words, 0.03)))
+            x, y = (np.frombuffer(neardup.sketch(s), dtype=np.uint64) for s in (a, b))
+            errors.append(1 - 2 * np.bitwise_count(x ^ y).sum() / neardup.SKETCH - jaccard(set(a.tolist()), set(b.tolist())))
+    assert abs(np.mean(errors)) < 0.005 and np.std(errors) < 0.02
 
 
 def test_arrow_stream(spark, docs, rows, plain, tmp_path):
@@ -285,18 +346,91 @@ def test_arc_lines():
             parse(bad)
 
 
-def test_quality_rules(docs, rows):
-    got = quality_rules.judge(docs, min_group=20).collect()
-    assert len(got) == len(rows)
-    want = {d: textstats.stats(t) for d, t in rows}
-    for r in got:
-        s = dict(zip(textstats.STATS, want[r["doc_id"]]))
-        assert all(r[c] == s[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))
-        assert r["base_failed"] == (s["n_words"] < 10 or 100 * s["n_repeat_words"] > 20 * s["n_words"]) and not (r["base_failed"] and r["kept"])
-    by = {r["doc_id"]: r for r in got}
-    assert not by[406]["kept"] and all(by[k]["kept"] for k in range(150))
-    assert quality_rules.keep(docs).columns == docs.columns
-    assert quality_rules.judge(empty(docs)).count() == 0
+def learnt_fences(stats, prior):
+    """(lang, source) -> fences, from the definition, without sketches' tables."""
+
+    def cell(x):
+        return None if x < 1e-6 else int(np.ceil(np.log(max(x, 1e-6)) / np.log(quality_rules._GAMMA)))
+
+    def mid(b):
+        return 0.0 if b is None else 2.0 * quality_rules._GAMMA**b / (quality_rules._GAMMA + 1)
+
+    def add(*weighted):
+        out = {}
+        for sketch, w in weighted:
+            for b, n in sketch.items():
+                out[b] = out.get(b, 0.0) + w * n
+        return out
+
+    def quantile(sketch, q):
+        order, upto, total = sorted(sketch, key=lambda b: (b is not None, b or 0)), 0.0, sum(sketch.values())
+        for b in order:
+            upto += sketch[b]
+            if upto >= q * total * (1 - 1e-12):
+                return mid(b)
+
+    out = {}
+    for m, (upper, reach, low) in quality_rules.MEASURES.items():
+        own = {}
+        for lang, source, values in stats:
+            own.setdefault((lang, source), []).append(cell(values[m]))
+        count = lambda cells: {b: cells.count(b) for b in set(cells)}
+        every = count([b for x in own.values() for b in x])
+        for lang in {k[0] for k in own}:
+            of_lang = count([b for k, x in own.items() if k[0] == lang for b in x])
+            of_lang = add((of_lang, 1), (every, prior / sum(every.values())))
+            for k in (k for k in own if k[0] == lang):
+                s = add((count(own[k]), 1), (of_lang, prior / sum(of_lang.values())))
+                q25, q75 = quantile(s, 0.25), quantile(s, 0.75)
+                out.setdefault(k, {})[f"high_{m}"] = max(quantile(s, upper), q75 + reach * (q75 - q25))
+                if low:
+                    out[k][f"low_{m}"] = q25 - reach * (q75 - q25)
+    return out
+
+
+def measured(text):
+    s = dict(zip(textstats.STATS, textstats.stats(text)))
+    part = lambda a, b: s[a] / s[b] if s[b] else 0.0
+    values = {"symbols_per_word": part("n_symbols", "n_words"), "dup_line_share": part("n_dup_lines", "n_lines"), "repeat_word_share": part("n_repeat_words", "n_words"), "mean_word_length": part("word_chars", "n_words")}
+    return s, values, s["n_words"] < 10 or 100 * s["n_repeat_words"] > 20 * s["n_words"]
+
+
+@pytest.mark.parametrize("name", ["odd", "/root/testdata/sf0.01"])
+def test_quality_rules(spark, docs, name):
+    """Every fence and verdict against the definition."""
+    table = docs if name == "odd" else common.documents(spark, name)
+    rows = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in table.collect()]
+    measures = [measured(t) for _, t, _, _ in rows]
+    want = learnt_fences([(lang, source, v) for (_, _, lang, source), (_, v, base) in zip(rows, measures) if not base], quality_rules.PRIOR)
+    stats = textstats.text_stats(table, "lang", "source")
+    got = {(r["lang"], r["source"]): r.asDict() for r in quality_rules.thresholds(stats).collect()}
+    assert set(got) == set(want)
+    for k, fence in want.items():
+        assert all(abs(got[k][c] - x) < 1e-9 for c, x in fence.items()), (k, fence, got[k])
+    verdicts = quality_rules.judge(table).collect()
+    assert len(verdicts) == len(rows)
+    expected = []
+    for (d, _, lang, source), (s, v, base) in zip(rows, measures):
+        fence = got.get((lang, source), {})
+        seen = lambda x: 0.0 if x < 1e-6 else 2 * quality_rules._GAMMA ** np.ceil(np.log(x) / np.log(quality_rules._GAMMA)) / (quality_rules._GAMMA + 1)
+        beyond = any(seen(v[m]) > fence[f"high_{m}"] + 1e-9 or (low and seen(v[m]) < fence[f"low_{m}"] - 1e-9) for m, (_, _, low) in quality_rules.MEASURES.items()) if fence else False
+        expected.append((d, *(s[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), base, not base and not beyond))
+    names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    assert sorted(map(repr, expected)) == sorted(repr(tuple(r[c] for c in names)) for r in verdicts)
+    assert quality_rules.keep(table).columns == table.columns
+    assert quality_rules.judge(table.filter("1 = 0")).count() == 0
+    if name != "odd":  # 80 groups, each with fences of its own, learnt from it
+        assert len({tuple(round(x, 9) for x in f.values()) for f in want.values()}) > 30
+
+
+def test_fences_follow_the_group(spark):
+    """Two sources of different spread and symbols: what is odd in one is ordinary in the other."""
+    rng = random.Random(12)
+    rows = [(k, prose(rng, 60), "en", "plain") for k in range(600)] + [(1000 + k, " ".join(w + ("#" if rng.random() < 0.4 else "") for w in prose(rng, 60).split()), "en", "code") for k in range(600)]
+    rows += [(5000, " ".join(w + "#" for w in prose(rng, 60).split()[:25]) + " " + prose(rng, 35), "en", "plain"), (5001, " ".join(w + "#" for w in prose(rng, 60).split()[:25]) + " " + prose(rng, 35), "en", "code")]
+    by = {r["doc_id"]: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()}
+    assert not by[5000]["kept"] and "high_symbols_per_word" in by[5000]["failed"] and by[5001]["kept"]
+    assert sum(by[k]["kept"] for k in range(600)) > 570 and sum(by[1000 + k]["kept"] for k in range(600)) > 540
 
 
 def test_stats_by_hand():
@@ -313,26 +447,71 @@ def test_stats_by_hand():
         assert (s["n_words"], s["word_chars"], s["n_symbols"], s["n_dup_lines"], s["n_repeat_words"]) == (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(marked))
 
 
-def test_sketch_quantiles(spark):
-    rng = random.Random(1)
-    xs = [rng.expovariate(1.0) for _ in range(5000)]
-    df = spark.createDataFrame([(x,) for x in xs], "x double").select(F.lit("m").alias("measure"), quality_rules.bucket(F.col("x")).alias("bucket")).groupBy("measure", "bucket").agg(F.count("*").alias("count"))
-    r = quality_rules.quartiles(df, []).first()
-    for q, name in ((0.25, "q25"), (0.75, "q75")):
-        assert abs(r[name] / sorted(xs)[int(q * len(xs))] - 1) < 0.03
-
-
 def test_site_bayes(spark, docs, rows):
     labels = spark.createDataFrame([(d, 0 if d in (401, 402, 404, 406) else 1) for d, _ in rows if d is not None] + [(None, 1), (3, None)], "doc_id bigint, quality int")
     got = site_bayes.score(docs, labels).collect()
     assert len(got) == len(rows) and all(0 <= r["probability"] <= 1 for r in got)
     by = {r["doc_id"]: r for r in got}
     assert all(by[k]["kept"] for k in range(150)) and not by[406]["kept"]
-    assert site_bayes.keep(docs, labels).columns == docs.columns
+    kept = site_bayes.keep(docs, labels)
+    assert kept.columns == docs.columns and sorted(repr(r["doc_id"]) for r in kept.collect()) == sorted(repr(r["doc_id"]) for r in got if r["kept"])
     assert all(r["kept"] for r in site_bayes.score(docs, labels.filter("1 = 0")).collect())
     assert site_bayes.score(empty(docs), labels).count() == 0
 
 
+def brute_posteriors(own, host, path, y):
+    """The rates and probabilities from the definition, row by row; own are the documents' probabilities, y their labels."""
+    own, n = np.array(own), len(own)
+    base = own.mean()
+    members = lambda names: {x: [i for i in range(n) if names[i] == x] for x in set(names)}
+    hosts, paths = members(host), members(list(zip(host, path)))
+
+    def strength(sites, prior):
+        good, size, m = np.array([own[x].sum() for x in sites]), np.array([len(x) for x in sites]), np.array(prior)
+        a, b = (size * (good / size - m) ** 2).sum(), (m * (1 - m)).sum()
+        return np.inf if a <= b else max((m * (1 - m)).mean() * size.sum() / (a - b) - 1, 1.0)
+
+    shrink = lambda good, size, m, k: m if k == np.inf else (good + k * m) / (size + k)
+    kh = strength(list(hosts.values()), [base] * len(hosts))
+    prior = {h: shrink(own[x].sum(), len(x), base, kh) for h, x in hosts.items()}
+    kp = strength(list(paths.values()), [prior[h] for h, _ in paths])
+    logit = lambda p: np.log(p / (1 - p))
+    rates = []
+    for i in range(n):
+        others = lambda x: (own[x].sum() - own[i], len(x) - 1)
+        rh = shrink(*others(hosts[host[i]]), base, kh)
+        rates.append((rh, shrink(*others(paths[host[i], path[i]]), rh, kp)))
+    shift = np.array([logit(rp) - logit(base) for _, rp in rates])
+    likely = lambda f: sum(np.log(p if good else 1 - p) for p, good in zip(1 / (1 + np.exp(-(logit(own) + f * shift))), y))
+    factor = max((k / 2000 for k in range(2001)), key=likely)
+    return factor, [(rh, rp, 1 / (1 + np.exp(-(logit(p) + factor * s)))) for (rh, rp), p, s in zip(rates, own, shift)]
+
+
+def test_site_posteriors(spark):
+    """Planted good and bad hosts with doubtful documents: all rates and posteriors against the definition, and the hosts decide."""
+    rng = random.Random(11)
+
+    def text(good):
+        return " ".join(rng.choice(["the", "river", "of", "stone", "."]) if rng.random() < (0.64 if good else 0.4) else rng.choice(["###", "$$$", "%%%"]) for _ in range(40))
+
+    rows = []
+    for k in range(900):
+        host = f"h{k % 9}"
+        good = rng.random() < (0.95 if k % 9 < 6 else 0.05)
+        rows.append((k, text(good), "en" if k % 2 else "de", host, int(good)))
+    rows.append((900, text(True), "en", "lone", 1))
+    docs = spark.createDataFrame([r[:4] for r in rows], "doc_id bigint, text string, lang string, source string")
+    labels = spark.createDataFrame([(r[0], r[4]) for r in rows], "doc_id bigint, quality int")
+    got = sorted(site_bayes.score(docs, labels).collect(), key=lambda r: r["doc_id"])
+    factor, want = brute_posteriors([r["own_probability"] for r in got], [r["host"] for r in got], [r["path"] for r in got], [r[4] for r in rows])
+    assert factor > 0.5
+    for r, (rh, rp, p) in zip(got, want):
+        assert abs(r["host_rate"] - rh) < 1e-9 and abs(r["path_rate"] - rp) < 1e-9 and abs(r["probability"] - p) < 2e-3 and r["kept"] == (r["probability"] >= 0.5)
+    right = lambda f: sum(f(r) == bool(x[4]) for r, x in zip(got, rows))
+    assert right(lambda r: r["kept"]) > right(lambda r: r["own_probability"] >= 0.5) + 20
+    assert got[900]["path_rate"] == pytest.approx(got[900]["host_rate"])  # alone on its site: the level above
+
+
 def test_site_bayes_held_out(spark):
     """Fitted without a third of the labels, the classifier agrees with them."""
     d = "/root/testdata/sf0.01"
@@ -343,41 +522,93 @@ def test_site_bayes_held_out(spark):
     assert r["n"] > 90 and r["a"] > 0.95
 
 
-def test_shrinkage(spark):
+def test_strength(spark):
     sites = spark.createDataFrame([("a", 1.0, 1), ("b", 900.0, 1000), ("c", 100.0, 1000)], "site string, good double, n bigint")
-    df, rate = site_bayes.shrunk(sites, F.lit(0.5))
-    r = {x["site"]: x["r"] for x in df.select("site", rate.alias("r")).collect()}
-    assert 0.5 < r["a"] < 0.75 and abs(r["b"] - 0.9) < 0.02 and abs(r["c"] - 0.1) < 0.02
+    k = site_bayes.strength(sites, F.lit(0.5))
+    r = {x["site"]: x["r"] for x in sites.select("site", site_bayes.shrunk(F.col("good"), F.col("n"), F.lit(0.5), k).alias("r")).collect()}
+    assert 0.5 < r["a"] < 0.85 and abs(r["b"] - 0.9) < 0.02 and abs(r["c"] - 0.1) < 0.02
+    alike = spark.createDataFrame([("a", 50.0, 100), ("b", 51.0, 100)], "site string, good double, n bigint")
+    assert site_bayes.strength(alike, F.lit(0.505)) == float("inf")
+
+
+def fluid_deviation(blocks, weights):
+    """The greatest difference from the fluid schedule of the target weights, slot by slot, in exact arithmetic."""
+    exact = [Fraction(w) for w in weights]
+    seen, got, worst = [0] * len(blocks), [Fraction(0)] * len(blocks), Fraction(0)
+    for slot, (s, k, release, deadline, at) in enumerate(pfair.schedule(blocks, pfair.whole_weights(weights))):
+        assert at == slot and release <= slot < deadline and k == seen[s]
+        seen[s] += 1
+        left = Fraction(1)
+        while left:
+            active = [i for i, n in enumerate(blocks) if got[i] < n]
+            total = sum(exact[i] for i in active)
+            step = min(left, *((blocks[i] - got[i]) * total / exact[i] for i in active))
+            for i in active:
+                got[i] += step * exact[i] / total
+            left -= step
+        worst = max(worst, *(abs(a - b) for a, b in zip(seen, got)))
+    assert seen == list(blocks)
+    return worst
 
 
 def test_pfair_schedule():
     rng = random.Random(3)
-    for _ in range(30):
-        weights = {f"s{k}": rng.random() + 0.01 for k in range(rng.randint(1, 9))}
-        parts = pfair.parts_of(weights, 200)
-        blocks = {s: rng.randint(1, 400) for s in weights}
-        seen = dict.fromkeys(parts, 0)
-        q = sum(parts.values())
-        for t, (s, k, release, deadline, slot) in enumerate(pfair.period(parts)):
-            assert slot == t and release <= t < deadline and k == seen[s]
-            seen[s] += 1
-            assert all(abs(n - parts[x] * (t + 1) / q) < 1 for x, n in seen.items())
-        assert seen == parts
-        plan = pfair.phases(blocks, parts)
-        assert sum(p["slots"] for p in plan) == sum(blocks.values())
+    for _ in range(40):
+        n = rng.randint(1, 9)
+        assert fluid_deviation([rng.randint(1, 60) for _ in range(n)], [rng.random() ** 4 + 1e-4 for _ in range(n)]) < 1
+    assert fluid_deviation([1500, 3], [0.9995, 0.0005]) < 1
+    assert list(pfair.schedule([], [])) == []
+    for bad in ([1.0, 0.0], [-1.0], [float("nan")], [float("inf")]):
+        with pytest.raises(ValueError):
+            pfair.whole_weights(bad)
+
+
+@pytest.mark.parametrize("weights", [[2**0.5, 3**0.5, 5**0.5], [1, 1, 0.0001], [0.9995, 0.0005], [7**0.5] * 19 + [100**0.5], [float(k + 1) ** 0.5 for k in range(1000)]])
+def test_pfair_keeps_to_the_target_weights(weights):
+    """A long schedule in which no source ends: never a block from the target weights themselves."""
+    slots, total = 60_000, sum(map(Fraction, weights))
+    shares = [Fraction(w) / total for w in weights]
+    seen = [0] * len(weights)
+    for s, k, _, _, slot in pfair.schedule([10**9] * len(weights), pfair.whole_weights(weights)):
+        seen[s] += 1
+        assert abs(seen[s] - shares[s] * (slot + 1)) < 1
+        if slot % 997 == 0 or slot == slots:
+            assert all(abs(n - w * (slot + 1)) < 1 for n, w in zip(seen, shares))
+        if slot == slots:
+            break
 
 
 def test_mix(spark, docs, rows):
-    got = pfair.mix(docs, {"hot": 3.0, "s0": 1.0}, block_rows=4).collect()
-    assert sorted(r["position"] for r in got) == list(range(len(rows)))
-    assert sorted(repr(r["doc_id"]) for r in got) == sorted(repr(d) for d, _ in rows)
-    slots = sorted({(r["slot"], r["source"], r["block"]) for r in got})
-    assert [s for s, _, _ in slots] == list(range(len(slots))) and all(r["release"] <= r["slot"] < r["deadline"] for r in got)
+    for weights in ({"hot": 3.0, "s0": 1.0}, None):
+        got = pfair.mix(docs, weights, block_rows=4).collect()
+        assert sorted(r["position"] for r in got) == list(range(len(rows)))
+        assert sorted(repr(r["doc_id"]) for r in got) == sorted(repr(d) for d, _ in rows)
+        slots = sorted({(r["slot"], r["source"], r["block"], r["release"], r["deadline"]) for r in got}, key=lambda r: r[0])
+        assert [r[0] for r in slots] == list(range(len(slots))) and all(r["release"] <= r["slot"] < r["deadline"] for r in got)
+        # The whole result from the schedule of the sources' own blocks.
+        size = {}
+        for r in docs.collect():
+            size[r["source"]] = size.get(r["source"], 0) + 1
+        names = sorted(size, key=lambda s: (s is not None, s or ""))
+        target = {s: size[s] ** 0.5 if weights is None else weights.get(s, 1.0) for s in names}
+        plan = pfair.schedule([-(-size[s] // 4) for s in names], pfair.whole_weights([target[s] for s in names]))
+        assert [(names[s], k, r, d, t) for s, k, r, d, t in plan] == [(r[1], r[2], r[3], r[4], r[0]) for r in slots]
+        order = [(r["slot"], r["place"]) for r in sorted(got, key=lambda r: r["position"])]
+        assert order == sorted(order) and all(r["weight"] == pytest.approx(target[r["source"]] / sum(target.values())) for r in got)
     assert pfair.mix(empty(docs)).count() == 0
     out = pfair.mixed(docs)
     assert out.columns == docs.columns and sorted(map(repr, out.collect())) == sorted(map(repr, docs.collect()))
 
 
+def test_mix_of_many_sources(spark):
+    """1,000 sources, and a weight for one of the rarest: each has windows of its own."""
+    docs = spark.createDataFrame([(k, "x", f"s{k % 1000}") for k in range(6000)] + [(9000, "x", "rare")], "doc_id bigint, text string, source string")
+    weights = {f"s{k}": 1.0 for k in range(999)} | {"rare": 5.0}
+    got = pfair.mix(docs, weights, block_rows=2).collect()
+    assert len(got) == 6001 and sorted(r["position"] for r in got) == list(range(6001))
+    assert len({(r["source"], r["block"]) for r in got}) == 3001 and {r["source"]: r["weight"] for r in got}["rare"] == pytest.approx(5 / 1005)
+
+
 def test_hilbert_curve(spark):
     for dims, bits in ((2, 3), (3, 2), (4, 1)):
         n = 1 << bits
@@ -389,14 +620,37 @@ def test_hilbert_curve(spark):
 
 
 def test_shards(docs, rows):
-    df = docs.select("doc_id", "lang", "source", F.octet_length(F.coalesce("text", F.lit(""))).alias("size"))
-    out = hilbert.shard(df, ["source", "lang", "size"], ["doc_id", "size"], 7)
+    df = docs.withColumn("size", F.octet_length(F.coalesce("text", F.lit("")))).drop("text", "n_chars").withColumn("shard", F.lit("x")).withColumn("hilbert", F.lit(None).cast("int"))
+    dims = ["source", "lang", "size"]
+    out = hilbert.shard(df, dims, ["doc_id", "size"], 7)
     got = out.collect()
-    counts = [sum(r["shard"] == k for r in got) for k in range(7)]
-    assert sum(counts) == len(rows) and max(counts) - min(counts) <= 1
-    assert all(sorted(r["slot"] for r in got if r["shard"] == k) == list(range(counts[k])) for k in range(7))
+    assert set(out.columns) == {c for c in df.columns if c not in ("slot", "shard", "hilbert")} | {"hilbert", "shard", "slot", "slot_input", "shard_input", "hilbert_input"}
+    assert {r["shard_input"] for r in got} == {"x"} and {r["pos"] for r in got} == {1}
+    # The whole assignment: rows sorted by curve index and tie, cut at whole numbers.
+    order = sorted(got, key=lambda r: (r["hilbert"], r["doc_id"] is not None, r["doc_id"] or 0, r["size"]))
+    n = len(rows)
+    assert len(order) == n
+    first = {}
+    for k, r in enumerate(order):
+        s = k * 7 // n
+        first.setdefault(s, k)
+        same = [(x["shard"], x["slot"]) for x in order if (x["hilbert"], x["doc_id"], x["size"]) == (r["hilbert"], r["doc_id"], r["size"])]
+        assert (s, k - first[s]) in same
+    # Cells: how many of 31 quantiles lie at or below the value.
+    assert {r["hilbert"] for r in got} == set(range(0)) | {r["hilbert"] for r in got if 0 <= r["hilbert"] < 1 << 15}
     assert hilbert.bounds(out, ["size"]).count() == 7
-    assert hilbert.shard(empty(df), ["source", "lang", "size"], ["doc_id"]).count() == 0
+    assert hilbert.shard(empty(df), dims, ["doc_id"]).count() == 0
+
+
+def test_text_quantiles(spark):
+    rng = random.Random(2)
+    values = ["".join(rng.choice("aéz中\"\\ ") for _ in range(rng.randint(0, 12))) for _ in range(900)] + ["https://host/a/common/prefix/" + str(k % 50) for k in range(600)] + [None] * 30
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    order = sorted((v for v in values if v is not None), key=str.encode)
+    want = sorted({order[-(-len(order) * i // 32) - 1] for i in range(1, 32)}, key=str.encode)
+    assert common.text_quantiles(df, "v", 32) == want
+    at = {r["v"]: r["b"] for r in df.select("v", F.coalesce(common.bucket_of(F.col("v"), want), F.lit(0)).alias("b")).collect()}
+    assert all(b == sum(q.encode() <= v.encode() for q in want) for v, b in at.items() if v is not None) and at[None] == 0
 
 
 def spots(text):
