@@ -104,12 +104,5 @@ def text_hash(docs: DataFrame) -> Column:
     return F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
 
 
-def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """The rows of `docs`, with all its columns, that `rejected` (doc_id, text_hash) doesn't name; null ids compare equal."""
-    bad = rejected.select(F.col("doc_id").alias("_rejected_id"), F.col("text_hash").alias("_rejected_hash")).distinct()
-    bad = materialise(bad, "rejected")
-    return docs.join(bad, docs["doc_id"].cast("bigint").eqNullSafe(bad["_rejected_id"]) & (text_hash(docs) == bad["_rejected_hash"]), "left_anti")
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

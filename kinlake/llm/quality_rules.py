@@ -16,8 +16,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinlake.llm.common import documents, materialise, text_hash, without
-from kinlake.llm.textstats import text_stats
+from kinlake.llm.common import documents, materialise
+from kinlake.llm.textstats import text_stats, with_text_stats
 
 ALPHA = 0.002
 #: Documents that a parent's sketch counts as in its children's.
@@ -31,15 +31,14 @@ _GAMMA = (1 + ALPHA) / (1 - ALPHA)
 _TINY = 1e-6
 
 
-def measures() -> dict[str, Column]:
-    words = F.col("n_words").cast("double")
-    share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+def measures(prefix: str = "") -> dict[str, Column]:
+    """The measures, from the text statistics in columns named with `prefix`."""
+    n = lambda c: F.col(f"{prefix}{c}")
+    share = lambda a, b: F.when(n(b) > 0, n(a) / n(b).cast("double")).otherwise(0.0)
     return {
-        "symbols_per_word": share(F.col("n_symbols"), words),
-        "dup_line_share": share(F.col("n_dup_lines"), F.col("n_lines").cast("double")),
-        "repeat_word_share": share(F.col("n_repeat_words"), words),
-        "mean_word_length": share(F.col("word_chars"), words),
-    }
+        "symbols_per_word": share("n_symbols", "n_words"), "dup_line_share": share("n_dup_lines", "n_lines"),
+        "repeat_word_share": share("n_repeat_words", "n_words"), "mean_word_length": share("word_chars", "n_words"),
+    }
 
 
 def bucket(x: Column) -> Column:
@@ -90,9 +89,26 @@ def fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(*[pick(m, s) for m, (_, _, low) in MEASURES.items() for s in (("low", "high") if low else ("high",))])
 
 
-def base_failed() -> Column:
+def base_failed(prefix: str = "") -> Column:
     """Too few words, or too many in repeated 5-word windows: these go whatever the group."""
-    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    words = F.col(f"{prefix}n_words")
+    return (words < 10) | (100 * F.col(f"{prefix}n_repeat_words") > 20 * words)
+
+
+def beyond(prefix: str = "") -> Column:
+    """The names of the fences (high_<measure>, low_<measure>) that a row lies beyond; null fences are none. A sketch knows values to
+    ALPHA of themselves: beyond a fence is what lies in a bucket beyond it."""
+    seen = {m: value(bucket(c)) for m, c in measures(prefix).items()}
+    named = [F.when(x > F.col(f"high_{m}"), F.lit(f"high_{m}")) for m, x in seen.items()]
+    named += [F.when(seen[m] < F.col(f"low_{m}"), F.lit(f"low_{m}")) for m, (_, _, low) in MEASURES.items() if low]
+    return F.array_compact(F.array(*named))
+
+
+def fenced(rows: DataFrame, limits: DataFrame) -> DataFrame:
+    """`rows` with the fences of their lang and source, nulls where a group has none."""
+    few = limits.count() <= BROADCAST_GROUPS
+    limits = limits.withColumnRenamed("lang", "_fence_lang").withColumnRenamed("source", "_fence_source")
+    return rows.join(F.broadcast(limits) if few else limits, rows["lang"].eqNullSafe(limits["_fence_lang"]) & rows["source"].eqNullSafe(limits["_fence_source"]), "left")
 
 
 def thresholds(stats: DataFrame, prior: float = PRIOR) -> DataFrame:
@@ -105,33 +121,32 @@ def thresholds(stats: DataFrame, prior: float = PRIOR) -> DataFrame:
 
 
 def judge(docs: DataFrame, prior: float = PRIOR) -> DataFrame:
-    """doc_id, text_hash, the statistics, base_failed, kept, and `failed`, the names of the fences that a row lies beyond.
+    """doc_id, the statistics, base_failed, kept, and `failed`, the names of the fences that a row lies beyond.
 
     base_failed: under 10 words, or over a fifth of the words in repeated 5-word windows. kept: not base_failed and
     inside every fence of its (lang, source). Each row comes back once, repeated rows too, with equal verdicts; null and
     empty texts have no words and fail; an empty table gives no rows; other columns are not read.
     """
-    rows = docs.select("doc_id", "lang", "source", "text", text_hash(docs).alias("text_hash"))
-    stats = materialise(text_stats(rows, "lang", "source", "text_hash"), "text-stats")
+    stats = materialise(text_stats(docs, "lang", "source"), "text-stats")
     limits = materialise(thresholds(stats, prior), "thresholds")
-    few = limits.count() <= BROADCAST_GROUPS
-    limits = limits.withColumnRenamed("lang", "lang_").withColumnRenamed("source", "source_")
-    joined = stats.join(F.broadcast(limits) if few else limits, stats["lang"].eqNullSafe(limits["lang_"]) & stats["source"].eqNullSafe(limits["source_"]), "left")
-    # A sketch knows values to ALPHA of themselves: beyond a fence is what lies in a bucket beyond it.
-    named = [F.when(value(bucket(c)) > F.col(f"high_{m}"), F.lit(f"high_{m}")) for m, c in measures().items()]
-    named += [F.when(value(bucket(measures()[m])) < F.col(f"low_{m}"), F.lit(f"low_{m}")) for m, (_, _, low) in MEASURES.items() if low]
-    base = base_failed()
-    return joined.select(
-        "doc_id", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        base.alias("base_failed"), (~base & (F.size(F.array_compact(F.array(*named))) == 0)).alias("kept"), F.array_compact(F.array(*named)).alias("failed"),
+    return fenced(stats, limits).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        base_failed().alias("base_failed"), (~base_failed() & (F.size(beyond()) == 0)).alias("kept"), beyond().alias("failed"),
     )
 
 
-def keep(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that are kept, with all its columns. Rows are known by doc_id, null or not, and text."""
-    return without(docs, judge(docs).filter("NOT kept"))
+def keep(docs: DataFrame, prior: float = PRIOR) -> DataFrame:
+    """The rows of `docs` that `judge` keeps, with all its columns. The fences are learnt in a first pass over the texts and applied in a
+    second one, row by row: texts are neither shuffled nor joined to verdicts."""
+    limits = materialise(thresholds(materialise(text_stats(docs, "lang", "source"), "text-stats"), prior), "thresholds")
+    stats = "_stat_"
+    names = [c for c in limits.columns if c not in ("lang", "source")]
+    taken = {c: f"_input_{c}" for c in docs.columns if c in names}
+    rows = fenced(with_text_stats(docs.withColumnsRenamed(taken), stats), limits)
+    kept = rows.filter(~base_failed(stats) & (F.size(beyond(stats)) == 0))
+    return kept.select(*[F.col(taken.get(c, c)).alias(c) for c in docs.columns])
 
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
     """Every document's statistics and verdict; see `judge`."""
-    return judge(documents(spark, sf_dir)).drop("text_hash").withColumn("failed", F.concat_ws(",", "failed"))
+    return judge(documents(spark, sf_dir)).withColumn("failed", F.concat_ws(",", "failed"))

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -56,3 +57,18 @@ def text_stats(docs: DataFrame, *keep: str) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("bigint"), *keep, F.col("text").cast("string"))
     head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     return rows.mapInArrow(run, f"{head}, " + ", ".join(f"{s} bigint" for s in STATS))
+
+
+def with_text_stats(docs: DataFrame, prefix: str) -> DataFrame:
+    """`docs` with STATS of its texts as columns named with `prefix`: rows pass by as they are, so that a filter on them needs no
+    join back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [stats(t) for t in batch.column(at).to_pylist()]
+            cols = list(zip(*rows, strict=True)) if rows else [()] * len(STATS)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.int64()) for c in cols)], names=[*batch.schema.names, *names])
+
+    names, at = [f"{prefix}{s}" for s in STATS], docs.columns.index("text")
+    schema = StructType([*docs.schema.fields, *(StructField(n, LongType()) for n in names)])
+    return docs.mapInArrow(run, schema)
