@@ -13,7 +13,7 @@ def literal_map(d: dict) -> Column:
 
 
 def fold_ascii(s: Column) -> Column:
-    """Lower case without marks; ß and ligatures become two letters. Other scripts stay; see fuzzy.fold_any."""
+    """Lower case without marks; ß and ligatures become two letters. Other scripts stay; see fuzzy.fold_scripts."""
     out = F.translate(F.lower(F.coalesce(s, F.lit(""))), L.FOLD_FROM, L.FOLD_TO)
     for a, b in L.FOLD_PAIRS.items():
         out = F.replace(out, F.lit(a), F.lit(b))
@@ -59,8 +59,16 @@ def state_codes(s: Column) -> Column:
     return F.when(s.rlike(rf"\b({'|'.join(names)})\b"), out).otherwise(s)
 
 
+def native_states(s: Column) -> Column:
+    """Names of states in their own scripts become their codes between blanks."""
+    out = s
+    for name, code in L.NATIVE_STATES.items():
+        out = F.replace(out, F.lit(name), F.lit(f" {code} "))
+    return F.when(s.rlike("|".join(L.NATIVE_STATES)), out).otherwise(s)
+
+
 def clean_address(s: Column) -> Column:
-    return collapse_initials(F.array_join(_tokens(state_codes(_cleaned(s))), " "))
+    return collapse_initials(F.array_join(_tokens(state_codes(_cleaned(native_states(F.coalesce(s, F.lit("")))))), " "))
 
 
 def norm_name(s: Column) -> Column:
@@ -83,11 +91,11 @@ def norm_address(s: Column) -> Column:
 
 def norm_name_suffix(s: Column) -> Column:
     """The core of a name by position: a leading 'the' and trailing legal forms go while a word remains."""
-    plain = F.replace(F.replace(fold_ascii(s), F.lit("&"), F.lit(" and ")), F.lit("+"), F.lit(" and "))
+    plain = F.replace(F.replace(F.replace(fold_ascii(s), F.lit("&"), F.lit(" and ")), F.lit("+"), F.lit(" and ")), F.lit("'"), F.lit(""))
     text = collapse_initials(F.trim(F.regexp_replace(plain, "[^a-z0-9]+", " ")))
-    mapped = F.transform(F.split(text, " "), lambda t: F.coalesce(literal_map(L.NAME_WORDS)[t], t))
+    mapped = F.transform(F.split(text, " "), lambda t: F.coalesce(literal_map(L.SUFFIX_NAME_WORDS)[t], t))
     joined = F.array_join(F.filter(mapped, lambda t: ~t.isin("dba", "aka", "")), " ")
-    return F.regexp_replace(F.regexp_replace(joined, "^the (?=.)", ""), f"^(.+?)( ({'|'.join(L.LEGAL_WORDS)}))+$", "$1")
+    return F.regexp_replace(F.regexp_replace(joined, "^the (?=.)", ""), f"^(.+?)( ({'|'.join(L.LEGAL_TAIL)}))+$", "$1")
 
 
 def norm_name_basic(s: Column) -> Column:
@@ -98,6 +106,14 @@ def norm_name_basic(s: Column) -> Column:
     return out
 
 
+def norm_address_basic(s: Column) -> Column:
+    """Folded, punctuation but commas as blanks, blanks squeezed, abbreviations expanded one after the other."""
+    out = F.trim(F.regexp_replace(F.regexp_replace(fold_ascii(s), "[^a-z0-9_\\s,]", " "), "\\s+", " "))
+    for a, b in L.BASIC_ADDRESS_WORDS.items():
+        out = F.regexp_replace(out, rf"\b{a}\b", b)
+    return out
+
+
 def name_flags(s: Column) -> Column:
     """struct(nat, dom): the share of letters beyond Latin, and whether the name looks like a domain."""
     letters = F.length(F.regexp_replace(s, r"[^\p{L}]", ""))
@@ -130,8 +146,7 @@ def postal_house(s: Column) -> Column:
     text = F.regexp_replace(F.lower(s), "([0-9]{5})-[0-9]{4}", "$1")
     text = F.trim(F.regexp_replace(fold_ascii(text), "[^a-z0-9]+", " "))
     text = F.trim(F.regexp_replace(F.concat(F.lit(" "), text, F.lit(" ")), " ([0-9]{3}) ([0-9]{3}) ", " $1$2 "))
-    plain = {k: v for k, v in L.ADDRESS_WORDS.items() if v != "unit"}
-    norm = F.array_join(F.transform(words(text), lambda t: F.coalesce(literal_map(plain)[t], t)), " ")
+    norm = F.array_join(F.transform(words(text), lambda t: F.coalesce(literal_map(L.SUFFIX_ADDRESS_WORDS)[t], t)), " ")
     postal = F.coalesce(F.get(F.reverse(F.filter(words(norm), lambda t: t.rlike("^[0-9]{5,6}$"))), F.lit(0)), F.lit(""))
     house = F.get(F.filter(words(norm), lambda t: (F.length(t) <= 5) & t.rlike("^[0-9]+[a-z]?$") & (t != postal)), F.lit(0))
     return F.struct(norm.alias("anorm"), postal.alias("postal"), F.coalesce(house, F.lit("")).alias("house"))

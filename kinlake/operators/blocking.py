@@ -68,6 +68,12 @@ def cap_candidates(pairs: DataFrame, max_cand: int = 40, rev_cap: int = 20) -> D
     return ranked.filter(((F.col("fwd") == 1) & (F.col("rk") <= max_cand)) | ((F.col("fwd") == 0) & (F.col("rrk") <= rev_cap))).drop("rk", "rrk")
 
 
+def cap_blended(pairs: DataFrame, most: int = 25) -> DataFrame:
+    """Pairs (i, j, cn, ca) of the `most` best of an anchor by the greater of cn and 0.6 cn + 0.4 ca, with that `score`."""
+    scored = pairs.withColumn("score", F.round(F.greatest(F.col("cn"), 0.6 * F.col("cn") + 0.4 * F.col("ca")), 6))
+    return top_k(scored, ["i"], most).drop("rk")
+
+
 def second_hop(pairs: DataFrame, target_scores: DataFrame, countries: DataFrame, anchors: int = 2, least: float = 0.3, k: int = 5, cap: int = 10) -> DataFrame:
     """New (i, j, score): the k nearest targets of each anchor's best candidates, where not candidates yet and of its country.
 

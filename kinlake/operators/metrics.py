@@ -62,24 +62,54 @@ def error_report(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.count("*").alias("entities"), F.round(F.sum(1.0 - F.col("f05")), 6).alias("lost"), F.round(F.avg("f05"), 6).alias("mean_f05"))
 
 
+def best_threshold(sweep: DataFrame) -> DataFrame:
+    """The one row of a sweep with the greatest F0.5, the least threshold among equals."""
+    return sweep.orderBy(F.desc("macro_f05"), "threshold").limit(1)
+
+
 def error_examples(rows: DataFrame, per_category: int = 25) -> DataFrame:
     """Up to per_category anchors of each error, chosen by hash."""
     w = Window.partitionBy("category").orderBy(F.xxhash64("i"), "i")
     return rows.filter("category <> 'correct'").withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= per_category).drop("rk")
 
 
+def error_dump(examples: DataFrame, scored: DataFrame, selected: DataFrame, truth: DataFrame, least: float = 0.2) -> DataFrame:
+    """(category, i, kind, j, p, is_true, selected) of the example anchors: their candidates ('cand') that are true, selected or above
+    `least`, and their true targets that are no candidates ('MISSED_TRUE', without p)."""
+    mine = F.broadcast(examples.select("i", "category"))  # per_category rows a category
+    t = truth.select("i", "j", F.lit(1).alias("is_true")).distinct()
+    s = selected.select("i", "j", F.lit(1).alias("selected")).distinct()
+    cands = scored.select("i", "j", "p").join(mine, "i").join(t, ["i", "j"], "left").join(s, ["i", "j"], "left").na.fill(0, ["is_true", "selected"])
+    cands = cands.filter((F.col("is_true") == 1) | (F.col("selected") == 1) | (F.col("p") > least)).select("category", "i", F.lit("cand").alias("kind"), "j", "p", "is_true", "selected")
+    missed = t.join(mine, "i").join(scored.select("i", "j"), ["i", "j"], "left_anti")
+    return cands.unionByName(missed.select("category", "i", F.lit("MISSED_TRUE").alias("kind"), "j", F.lit(None).cast("double").alias("p"), "is_true", F.lit(0).alias("selected")))
+
+
+def matched(truth: DataFrame) -> DataFrame:
+    """How many links, distinct anchors and distinct targets there are."""
+    return truth.agg(F.count("*").alias("links"), F.countDistinct("i").alias("anchors"), F.countDistinct("j").alias("targets"))
+
+
 def kept_quantile(scores: DataFrame, score: str, keep: float) -> DataFrame:
-    """One row: the score at ascending position floor((1 - keep) * n), no interpolation. Equal scores are counted before any order, so
-    the window sees distinct values, and only the counts of 2^10 coarse bins meet in one task."""
-    bins = scores.select(F.col(score).alias("v"), F.floor(F.col(score) * 1024).alias("b"))
-    per = bins.groupBy("b").agg(F.count("*").alias("n"))
-    w = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    per = per.withColumn("upto", F.sum("n").over(w)).withColumn("total", F.sum("n").over(Window.partitionBy()))
-    at = F.floor((1.0 - keep) * F.col("total") + 1e-9) + 1
-    pick = per.filter((F.col("upto") >= at) & (F.col("upto") - F.col("n") < at)).select("b", (at - F.col("upto") + F.col("n")).alias("k"))
-    inside = bins.join(F.broadcast(pick), "b").groupBy("v", "k").agg(F.count("*").alias("n"))
+    """One row: the score at ascending position floor((1 - keep) * n), no interpolation. Scores are from 0 to 1. Three rounds narrow the
+    place down to one of 1,024 bins each, by grouped counts; the last groups equal scores of a bin some 1e-9 wide."""
+    spark, low, width, skip = scores.sparkSession, 0.0, 1.0, 0
+    column = scores.select(F.least(F.greatest(F.col(score).cast("double"), F.lit(0.0)), F.lit(1.0)).alias("v")).filter("v IS NOT NULL")
+    n = column.count()
+    at = int((1.0 - keep) * n + 1e-9) + 1
+    if not n or at > n:
+        return spark.createDataFrame([(None,)], "threshold double")
+    for _ in range(3):
+        bin_ = F.least(F.floor((F.col("v") - F.lit(low)) * F.lit(1024.0 / width)), F.lit(1023))
+        counts = sorted((r["b"], r["n"]) for r in column.groupBy(bin_.alias("b")).agg(F.count("*").alias("n")).collect())
+        for b, c in counts:
+            if skip + c >= at:
+                break
+            skip += c
+        column = column.filter(bin_ == b)
+        low, width = low + b * width / 1024, width / 1024
     upto = F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return inside.withColumn("upto", upto).filter("upto >= k").agg(F.min("v").alias("threshold"))
+    return column.groupBy("v").agg(F.count("*").alias("n")).withColumn("upto", upto).filter(F.col("upto") >= at - skip).agg(F.min("v").alias("threshold"))
 
 
 def validate(lists: DataFrame, anchors: DataFrame, targets: DataFrame, key: str = "source1_entity_id", items: str = "matched_entity_ids") -> DataFrame:

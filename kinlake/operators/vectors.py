@@ -19,7 +19,7 @@ def postings(records: DataFrame, features: str, max_df: float, cap_floor: int =
     idf = df.join(F.broadcast(n), keys).filter(F.col("df") <= F.greatest(F.lit(float(cap_floor)), F.lit(max_df) * F.col("n")))
     idf = idf.select(*keys, "feature", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
     raw = tf.join(idf, [*keys, "feature"]).select(*keys, "id", "src", "feature", ((1.0 + F.log("tf")) * F.col("idf")).alias("w"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*keys, "id")))
     return raw.select(*keys, "id", "src", "feature", (F.col("w") / norm).alias("w"))
 
 
@@ -37,6 +37,23 @@ def cosine(left: DataFrame, right: DataFrame, keys: tuple[str, ...] = ("country"
     return a.join(b, [*keys, "feature"]).groupBy("i", "j", "src").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 6).alias("score"))
 
 
+def country_groups(records: DataFrame) -> DataFrame:
+    """Records with the group that they are compared in as `country`: their own, and for targets without one, every country that anchors
+    have. Anchors without a country are a group with the targets without one."""
+    known = records.filter("src = 0").select("country").distinct().agg(F.collect_set("country").alias("_all"))  # countries are few
+    blank = records.filter("src > 0 AND country = ''").crossJoin(F.broadcast(known)).withColumn("country", F.explode("_all")).drop("_all")
+    return records.filter("NOT (src > 0 AND country = '')").unionByName(blank)
+
+
+def pair_scores(pairs: DataFrame, left: DataFrame, right: DataFrame, out: str) -> DataFrame:
+    """`pairs` (i, j) with their cosine as `out`, 0 without a shared feature: the features of the pairs' records only meet pair by pair."""
+    a = left.select(F.col("id").alias("i"), "country", "feature", F.col("w").alias("wa"))
+    b = right.select(F.col("id").alias("j"), "country", "feature", F.col("w").alias("wb"))
+    found = pairs.select("i", "j").join(a, "i").join(b, ["j", "country", "feature"]).groupBy("i", "j", "country").agg(F.sum(F.col("wa") * F.col("wb")).alias("s"))
+    found = found.groupBy("i", "j").agg(F.round(F.max("s"), 6).alias(out))
+    return pairs.join(found, ["i", "j"], "left").na.fill(0.0, [out])
+
+
 def combined(name_scores: DataFrame, addr_scores: DataFrame, name_posts: DataFrame, addr_posts: DataFrame, weight: float = 0.8) -> DataFrame:
     """Scores in the joint space of [name, weight * addr] from the two channels: (c_n + weight^2 c_a) / (z_i z_j), where
     z^2 = [name vector not empty] + weight^2 [address vector not empty]. No third index is needed."""

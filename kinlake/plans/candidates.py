@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kinlake.functions import text as T
 from kinlake.operators import blocking, vectors
+from kinlake.sources.scratch import materialise
 
 
 @dataclass(frozen=True)
@@ -42,19 +43,65 @@ def posts(records: DataFrame, channel: str, c: Config = DEFAULT) -> DataFrame:
     return vectors.postings(records.withColumn("_f", features), "_f", df, c.df_floor)
 
 
-def scores(records: DataFrame, c: Config = DEFAULT) -> dict[str, DataFrame]:
-    """char, addr and comb scores of every anchor-target pair that shares a kept feature: scored once, used in both directions."""
-    found, post = {}, {}
-    for channel in ("char", "word", "addr"):
-        post[channel] = p = posts(records, channel, c)
-        found[channel] = vectors.cosine(p.filter("src = 0"), p.filter("src > 0"))
+def scores(records: DataFrame, c: Config = DEFAULT, post: dict[str, DataFrame] | None = None, channels: tuple[str, ...] = ("char", "word", "addr")) -> dict[str, DataFrame]:
+    """char, addr and comb scores of every anchor-target pair that shares a kept feature: scored once, used in both directions. `post` may
+    hold the postings; `channels` are those that the caller reads."""
+    found, post = {}, dict(post or {})
+    for channel in channels:
+        if channel not in post:  # written once: each is read three times or more
+            post[channel] = materialise(posts(records, channel, c), f"{channel}-postings")
+        found[channel] = vectors.cosine(post[channel].filter("src = 0"), post[channel].filter("src > 0"))
+    if "word" not in channels:
+        return found
     found["comb"] = vectors.combined(found["word"], found["addr"], post["word"], post["addr"], c.addr_weight)
     return found
 
 
-def candidates(records: DataFrame, c: Config = DEFAULT) -> DataFrame:
+def expanded(records: DataFrame, c: Config = DEFAULT) -> DataFrame:
+    """Candidates within the caps of an anchor, and those of the second hop, with the scores of all channels: i, j, src, fwd, hop, cc, cm, ca
+    and p = cm. Targets without a country meet the anchors of every country."""
+    grouped = materialise(vectors.country_groups(records.select("id", "src", "country", "name", "addr")), "grouped")
+    post = {x: materialise(posts(grouped, x, c), f"{x}-postings") for x in ("char", "word", "addr")}
+    best = F.greatest("cc", "cm", "ca")
+    near = materialise(blocking.cap_candidates(candidates(grouped, c, post).withColumn("score", best), c.max_cand, c.rev_cap), "near")
+    hop = second_hop(near, records, post, c)
+    return near.drop("score").withColumn("hop", F.lit(0)).unionByName(hop.withColumn("hop", F.lit(1)))
+
+
+def second_hop(near: DataFrame, records: DataFrame, post: dict[str, DataFrame], c: Config = DEFAULT) -> DataFrame:
+    """New pairs, scored in all channels: each anchor's best candidates lead to the targets nearest to them, in the joint space and in the
+    addresses', that are of the anchor's country or of none; the hop_cap best of an anchor."""
+    first = blocking.top_k(near.filter(F.col("score") >= c.hop_min), ["i"], c.hop_anchors).select("i", F.col("j").alias("a"))
+    first = materialise(first, "hop-anchors")
+    targets = {x: p.filter("src > 0") for x, p in post.items()}
+    mine = {x: p.join(first.select(F.col("a").alias("id")).distinct(), "id", "left_semi") for x, p in targets.items()}
+    found = {x: vectors.cosine(mine[x], targets[x]).filter("i <> j").groupBy("i", "j", "src").agg(F.max("score").alias("score")) for x in ("word", "addr")}
+    joint = vectors.combined(found["word"], found["addr"], targets["word"], targets["addr"], c.addr_weight)
+    lists = [blocking.top_k(s, ["i"], c.hop_k).select(F.col("i").alias("a"), "j") for s in (joint, found["addr"])]
+    fresh = first.join(lists[0].unionByName(lists[1]).distinct(), "a").select("i", "j").distinct().join(near.select("i", "j"), ["i", "j"], "left_anti")
+    ci, cj = records.select(F.col("id").alias("i"), F.col("country").alias("ci")), records.select(F.col("id").alias("j"), F.col("country").alias("cj"), "src")
+    fresh = materialise(fresh.join(ci, "i").join(cj, "j").filter("ci = cj OR cj = ''").select("i", "j", "src"), "hop-pairs")
+    scored = rescore(fresh, post, c).withColumn("score", F.greatest("cm", "ca"))
+    return blocking.top_k(scored, ["i"], c.hop_cap).select("i", "j", "src", F.lit(0).alias("fwd"), "cc", "cm", "ca", F.col("cm").alias("p"))
+
+
+def rescore(pairs: DataFrame, post: dict[str, DataFrame], c: Config = DEFAULT) -> DataFrame:
+    """`pairs` (i, j, src) with cc, cm and ca, each computed for these pairs alone."""
+    out = pairs
+    for x, name in (("char", "cc"), ("word", "_cn"), ("addr", "ca")):
+        out = vectors.pair_scores(out, post[x].filter("src = 0"), post[x].filter("src > 0"), name)
+    for key in "ij":
+        for x, name in (("word", "hn"), ("addr", "ha")):
+            out = out.join(post[x].select(F.col("id").alias(key)).distinct().withColumn(f"{name}{key}", F.lit(1.0)), key, "left")
+    w2 = c.addr_weight**2
+    z = lambda key: F.sqrt(F.coalesce(f"hn{key}", F.lit(0.0)) + w2 * F.coalesce(f"ha{key}", F.lit(0.0)))
+    cm = F.when((z("i") > 0) & (z("j") > 0), F.round((F.col("_cn") + w2 * F.col("ca")) / (z("i") * z("j")), 6)).otherwise(0.0)
+    return out.withColumn("cm", cm).select(*pairs.columns, "cc", "cm", "ca")
+
+
+def candidates(records: DataFrame, c: Config = DEFAULT, post: dict[str, DataFrame] | None = None) -> DataFrame:
     """i, j, src, fwd, cc, cm, ca, and p = cm."""
-    s = scores(records, c)
+    s = scores(records, c, post)
     # Every channel's score of a pair comes from one union and one grouped pass; ranks are windows over it.
     tagged = [s[name].select("i", "j", "src", *[F.col("score").alias(x) if x == col else F.lit(None).cast("double").alias(x) for x in ("cc", "cm", "ca")]) for name, col in (("char", "cc"), ("comb", "cm"), ("addr", "ca"))]
     every = tagged[0].unionByName(tagged[1]).unionByName(tagged[2]).groupBy("i", "j", "src").agg(*[F.max(x).alias(x) for x in ("cc", "cm", "ca")])

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,23 +10,9 @@ from kinlake.functions import lexicon as L
 from kinlake.functions import text as T
 from kinlake.operators import blocking, context, decide, features, learn, metrics, vectors
 from kinlake.plans import candidates as plan
+from kinlake.registry import ORACLES, QUERIES, query  # noqa: F401
 from kinlake.sources import views
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None, name: str | None = None):
-    def add(f):
-        key = name or f.__name__
-        QUERIES[key] = f
-        if sql:
-            ORACLES[key] = sql
-        return f
-
-    return add
-
-
 def rows(spark: SparkSession, values: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(values, schema)
 
@@ -42,11 +26,11 @@ def values(items: list[tuple], columns: str) -> str:
 
 NAMES = [
     (-1, "Acme Robotics Corp."), (-2, "Starbucks Starbucks Coffee"), (-3, "Private Limited"), (-4, "E.U.R.L. Dupont"), (-5, "ch0ice scho1arship"), (-6, "2nd 2th 007 000"), (-7, "NULL A&B n/a"),
-    (-8, "The Acme Co. Ltd"), (-9, "fortunefinance.com"), (-10, "Müller & Söhne GmbH"), (-11, "A B C Traders Pvt Ltd"), (-12, "L'Oréal S.A."), (-13, ""),
+    (-8, "The Acme Co. Ltd"), (-9, "fortunefinance.com"), (-10, "Müller & Söhne GmbH"), (-11, "A B C Traders Pvt Ltd"), (-12, "L'Oréal S.A."), (-13, ""), (-14, "Société Générale Ets Fils & Freres"), (-15, "Smt Shri Mfrs Hldgs Grp of the Centre"), (-16, "Acme + Sons Distr Engg dba Aka Univ Hosp Pv Ltda"),
 ]
 ADDRESSES = [
     (-1, "123 Main St, NY"), (-2, "500 Pine St, Suite 12B"), (-3, "Apt 4, 12 Rd"), (-4, "10 Broadway, New York"), (-5, "Rue X 01234"), (-6, "12B Main St 12345-6789"), (-7, "Plot 5 MG Road Bengaluru Karnataka 560 001"),
-    (-8, "unit unit 5 Hill Ave, West Virginia"), (-9, "Opp Post Office, N Hwy 7"), (-10, ""),
+    (-8, "unit unit 5 Hill Ave, West Virginia"), (-9, "Opp Post Office, N Hwy 7"), (-10, ""), (-11, "H No 4, Sec 9, Washington District of Columbia"), (-12, "प्लॉट 7, उत्तर प्रदेश 226001"), (-13, "Ste 5 Bld Saint Martin, Himachal Pradesh"), (-14, "12 Blk 4 Clny, Distt Pune, ஊர் தமிழ்நாடு"),
 ]
 PLACES = [
     (1, "123 Main St, NY 10001-1234", "US"), (2, "1 MG Road, Karnataka, Bengaluru, 560001", "India"), (3, "12 Rue X, 75001 Paris", "France"), (4, "5 Elm, CA", "US"), (5, "somewhere", "India"), (6, "9 rue Y, 97400 Ville", "France"), (7, "x", "Peru"),
@@ -68,7 +52,7 @@ def addresses_of(spark, d):
 NAMES_SQL = f"n AS (SELECT doc_id AS id, text FROM documents UNION ALL SELECT * FROM {values(NAMES, 'id, text')})"
 ADDR_SQL = f"n AS (SELECT doc_id AS id, text FROM documents UNION ALL SELECT * FROM {values(ADDRESSES, 'id, text')})"
 CLEAN_SQL = f"t AS (SELECT id, {S.tokens(S.cleaned('text'))} AS t FROM n), c AS (SELECT id, {S.initials('t')} AS s FROM t)"
-CLEAN_ADDR_SQL = f"t AS (SELECT id, {S.tokens(S.states(S.cleaned('text')))} AS t FROM n), c AS (SELECT id, {S.initials('t')} AS s FROM t)"
+CLEAN_ADDR_SQL = f"t AS (SELECT id, {S.tokens(S.states(S.cleaned(S.native('text'))))} AS t FROM n), c AS (SELECT id, {S.initials('t')} AS s FROM t)"
 
 
 # --- scans and sinks ---------------------------------------------------------------------------------------
@@ -147,13 +131,13 @@ def norm_name(spark, d):
     return names_of(spark, d).select("id", T.norm_name(F.col("text")).alias("r")).select("id", "r.n_full", "r.n_core")
 
 
-_SUFFIX = f"list_filter(list_transform(s, lambda t: {S.mapped(L.NAME_WORDS, 't')}), lambda t: t NOT IN ('dba', 'aka', ''))"
+_SUFFIX = f"list_filter(list_transform(s, lambda t: {S.mapped(L.SUFFIX_NAME_WORDS, 't')}), lambda t: t NOT IN ('dba', 'aka', ''))"
 
 
-@query(f"""WITH {NAMES_SQL}, t AS (SELECT id, string_split({S.plain("replace(replace(" + S.fold('text') + ", '&', ' and '), '+', ' and ')")}, ' ') AS t FROM n),
+@query(f"""WITH {NAMES_SQL}, t AS (SELECT id, string_split({S.plain("replace(replace(replace(" + S.fold('text') + ", '&', ' and '), '+', ' and '), '''', '')")}, ' ') AS t FROM n),
 c AS (SELECT id, string_split({S.initials('t')}, ' ') AS s FROM t), m AS (SELECT id, {_SUFFIX} AS m FROM c),
 h AS (SELECT id, CASE WHEN len(m) > 1 AND m[1] = 'the' THEN m[2:] ELSE m END AS m FROM m),
-k AS (SELECT id, m, coalesce(list_max(list_transform(range(1, len(m) + 1), lambda i: CASE WHEN m[i] NOT IN {S.strings(L.LEGAL_WORDS)} THEN i ELSE 0 END)), 0) AS last FROM h)
+k AS (SELECT id, m, coalesce(list_max(list_transform(range(1, len(m) + 1), lambda i: CASE WHEN m[i] NOT IN {S.strings(L.LEGAL_TAIL)} THEN i ELSE 0 END)), 0) AS last FROM h)
 SELECT id, array_to_string(m[1:greatest(last, 1)], ' ') AS core FROM k""")
 def norm_name_suffix(spark, d):
     return names_of(spark, d).select("id", T.norm_name_suffix(F.col("text")).alias("core"))
@@ -208,7 +192,7 @@ def state_codes(spark, d):
 
 @query(f"""WITH {ADDR_SQL}, a AS (SELECT id, {S.plain("regexp_replace(lower(text), '([0-9]{5})-[0-9]{4}', '\\1', 'g')")} AS s FROM n),
 b AS (SELECT id, trim(regexp_replace(' ' || s || ' ', ' ([0-9]{{3}}) ([0-9]{{3}}) ', ' \\1\\2 ', 'g')) AS s FROM a),
-m AS (SELECT id, list_transform({S.word_list('s')}, lambda t: {S.mapped(_PLAIN_WORDS, 't')}) AS m FROM b),
+m AS (SELECT id, list_transform({S.word_list('s')}, lambda t: {S.mapped(L.SUFFIX_ADDRESS_WORDS, 't')}) AS m FROM b),
 p AS (SELECT id, m, coalesce(list_filter(m, lambda t: regexp_matches(t, '^[0-9]{{5,6}}$'))[-1], '') AS postal FROM m)
 SELECT id, array_to_string(m, ' ') AS anorm, postal, coalesce(list_filter(m, lambda t: length(t) <= 5 AND regexp_matches(t, '^[0-9]+[a-z]?$') AND t <> postal)[1], '') AS house FROM p""")
 def postal_house(spark, d):
@@ -286,22 +270,22 @@ def block_token_capped(spark, d):
 
 @query(f"WITH {S.CHANNELS} SELECT i, j, src, score FROM ({S.top('s_char', 'i, src', 10)})")
 def block_cosine_char(spark, d):
-    return blocking.top_k(plan.scores(views.entities(spark, d))["char"], ["i", "src"], 10).select("i", "j", "src", "score")
+    return blocking.top_k(plan.scores(views.entities(spark, d), channels=("char",))["char"], ["i", "src"], 10).select("i", "j", "src", "score")
 
 
 @query(f"WITH {S.CHANNELS} SELECT i, j, src, score FROM ({S.top('s_comb', 'i, src', 12)})")
 def block_cosine_comb(spark, d):
-    return blocking.top_k(plan.scores(views.entities(spark, d))["comb"], ["i", "src"], 12).select("i", "j", "src", "score")
+    return blocking.top_k(plan.scores(views.entities(spark, d), channels=("word", "addr"))["comb"], ["i", "src"], 12).select("i", "j", "src", "score")
 
 
 @query(f"WITH {S.CHANNELS} SELECT i, j, src, score FROM ({S.top('s_addr', 'i, src', 6)})")
 def block_cosine_addr(spark, d):
-    return blocking.top_k(plan.scores(views.entities(spark, d))["addr"], ["i", "src"], 6).select("i", "j", "src", "score")
+    return blocking.top_k(plan.scores(views.entities(spark, d), channels=("addr",))["addr"], ["i", "src"], 6).select("i", "j", "src", "score")
 
 
 @query(f"WITH {S.CHANNELS} SELECT i, j, src, score FROM ({S.top('s_comb', 'j', 3)})")
 def block_reverse_topk(spark, d):
-    return blocking.top_k(plan.scores(views.entities(spark, d))["comb"], ["j"], 3).select("i", "j", "src", "score")
+    return blocking.top_k(plan.scores(views.entities(spark, d), channels=("word", "addr"))["comb"], ["j"], 3).select("i", "j", "src", "score")
 
 
 _V12 = f"list_concat(list_transform({S.word_list('name')}, lambda w: 'w' || w), list_transform(range(1, length('#' || replace(name, ' ', '') || '#') - 2), lambda k: 'c' || substr('#' || replace(name, ' ', '') || '#', k, 4)))"
@@ -334,7 +318,7 @@ ok AS (SELECT h.* FROM h JOIN e x ON x.id = h.i JOIN e y ON y.id = h.j WHERE x.c
 SELECT i, j, score FROM ({S.top('ok', 'i', 10)})""")
 def second_hop(spark, d):
     e = views.entities(spark, d)
-    p = blocking.top_k(plan.scores(e)["comb"], ["i", "src"], 12).select("i", "j", "score")
+    p = blocking.top_k(plan.scores(e, channels=("word", "addr"))["comb"], ["i", "src"], 12).select("i", "j", "score")
     w = plan.posts(e, "word").filter("src > 0")
     return blocking.second_hop(p, vectors.cosine(w, w).select("i", "j", "score"), e.select("id", "country"))
 

@@ -54,6 +54,15 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as normalised records: id, src, country, full and name (all words and the core of the first sentence), addr (what
+    follows), nat, dom, postal and house."""
+    e = entities(spark, sf_dir)
+    rest = F.substring("text", F.length("raw_name") + 2, F.lit(1 << 30))
+    made = e.select("id", "src", "country", T.norm_name(F.col("raw_name")).alias("n"), T.norm_address(rest).alias("addr"), T.name_flags(F.col("raw_name")).alias("f"), T.postal_house(rest).alias("p"))
+    return made.select("id", "src", "country", F.col("n.n_full").alias("full"), F.col("n.n_core").alias("name"), "addr", "f.nat", "f.dom", "p.postal", "p.house")
+
+
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Silver links (i, j): an anchor and a target of the same text."""
     e = entities(spark, sf_dir)

@@ -59,6 +59,13 @@ def states(s: str) -> str:
     return out
 
 
+def native(s: str) -> str:
+    out = f"coalesce({s}, '')"
+    for name, code in L.NATIVE_STATES.items():
+        out = f"replace({out}, {q(name)}, ' {code} ')"
+    return out
+
+
 def unique(xs: str) -> str:
     """Distinct items, first places kept."""
     return f"list_filter({xs}, lambda x, i: list_position({xs}, x) = i)"
