@@ -1,7 +1,8 @@
 """SpotSigs fingerprints (Theobald, Siddharth, Paepcke 2008).
 
 A signature is a common word (the anchor) with the chain of the `CHAIN` content words after it; a text's
-fingerprint is the set of its signatures' hashes. Sets are partitioned by length so that only neighbouring
+fingerprint is the set of its signatures' 64-bit hashes. A text without any anchor, of another language, say, has a
+chain from each of its words. Sets are partitioned by length so that only neighbouring
 partitions can hold pairs at a threshold; within these, pairs meet at their rarest signatures and Jaccard
 similarity is computed only if the lengths allow it. All of it runs on JVM operators.
 """
@@ -29,8 +30,8 @@ THRESHOLD = 0.8
 
 
 def with_signatures(df: DataFrame, text: str = "text", out: str = "sigs") -> DataFrame:
-    """Add `out`, the sorted array<int> of distinct signature hashes of a text column. Null and empty texts have none; a
-    text with words but no spot has one signature, the hash of all its words."""
+    """Add `out`, the sorted array<bigint> of distinct signature hashes of a text column. Null and empty texts have none; in a
+    text with words but no spot every word begins a chain."""
     words = F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " ")), " ")
     # Anchors end with \x01, content words with a space: split at spaces, each item is a content word with the anchors
     # before it, and its chain is the content words from there on. Steps are columns, so that none is evaluated anew
@@ -41,13 +42,14 @@ def with_signatures(df: DataFrame, text: str = "text", out: str = "sigs") -> Dat
     def spots(item: Column, k: Column) -> Column:
         chain = F.concat_ws(" ", *[after(k + i) for i in range(CHAIN)])
         parts = F.split(item, "\x01")
-        return F.transform(F.filter(parts, lambda _, i: i < F.size(parts) - 1), lambda a: F.hash(a, chain))
+        return F.transform(F.filter(parts, lambda _, i: i < F.size(parts) - 1), lambda a: F.xxhash64(a, chain))
 
-    none = F.array().cast("array<int>")
+    none = F.array().cast("array<bigint>")
     found = F.flatten(F.transform("_items", lambda item, k: F.when(F.instr(item, "\x01") > 0, spots(item, k)).otherwise(none)))
     staged = df.withColumn("_words", words).withColumn("_items", F.split(F.array_join(tagged, ""), " ")).withColumn("_spots", found)
-    whole = F.when(F.array_join("_words", "") == "", none).otherwise(F.array(F.hash(F.array_join("_words", " "))))
-    return staged.withColumn(out, F.when(F.size("_spots") > 0, F.array_sort(F.array_distinct("_spots"))).otherwise(whole)).drop("_words", "_items", "_spots")
+    chains = F.transform("_words", lambda _, k: F.xxhash64(F.array_join(F.slice("_words", k + 1, CHAIN + 1), " ")))
+    sigs = F.when(F.size("_spots") > 0, F.col("_spots")).when(F.array_join("_words", "") == "", none).otherwise(chains)
+    return staged.withColumn(out, F.array_sort(F.array_distinct(sigs))).drop("_words", "_items", "_spots")
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -71,8 +73,8 @@ def length_partition(sigs: Column, threshold: float = THRESHOLD) -> Column:
 
 
 def encode(sigs: Column) -> Column:
-    """The fingerprint as text: eight hexadecimal digits per signature, in ascending order."""
-    return F.lower(F.array_join(F.transform(sigs, lambda s: F.lpad(F.hex(F.when(s < 0, s.cast("bigint") + F.lit(1 << 32)).otherwise(s.cast("bigint"))), 8, "0")), ""))
+    """The fingerprint as text: 16 hexadecimal digits per signature, in the order of the set."""
+    return F.lower(F.array_join(F.transform(sigs, lambda s: F.lpad(F.hex(s), 16, "0")), ""))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -129,7 +131,7 @@ def with_next(docs: DataFrame, columns: list[str], buckets: int | None = None) -
 
 
 def op2_spotsigs(spark, sf_dir: str) -> DataFrame:
-    """Every document's fingerprint, its edited text's, and their likeness; see `likeness`."""
+    """Every document's fingerprint, its edited text's, and their likeness; see `jaccard` and `length_partition`."""
     docs = documents(spark, sf_dir).select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text"))
     docs = with_next(with_signatures(docs), ["text", "sigs"])
     n = F.length("text")

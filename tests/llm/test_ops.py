@@ -653,28 +653,55 @@ def test_text_quantiles(spark):
     assert all(b == sum(q.encode() <= v.encode() for q in want) for v, b in at.items() if v is not None) and at[None] == 0
 
 
-def spots(text):
-    import re
+def words_of(text):
+    """Runs of letters and digits of the lower-cased text."""
+    import regex
+
+    return regex.sub(r"[^\p{L}\p{N}]+", " ", (text or "").lower()).split()
 
-    words = re.sub(r"[^\w]|_", " ", (text or "").lower()).split()
-    out, content = set(), [(k, w) for k, w in enumerate(words) if w not in spotsigs.ANCHORS]
-    for k, w in enumerate(words):
+
+def spots(text):
+    words = words_of(text)
+    out, content = set(), [w for w in words if w not in spotsigs.ANCHORS]
+    seen = 0
+    for w in words:
         if w in spotsigs.ANCHORS:
-            after = [c for at, c in content if at > k][: spotsigs.CHAIN]
+            after = content[seen : seen + spotsigs.CHAIN]
             out.add((w, " ".join([*after, *[""] * (spotsigs.CHAIN - len(after))])))
-    return out or ({tuple(words)} if words else set())
+        else:
+            seen += 1
+    return out or {tuple(words[k : k + spotsigs.CHAIN + 1]) for k in range(len(words))}
 
 
 def test_spotsigs(spark, docs):
-    texts = [(1, "The river of stone, and a hill"), (2, "the RIVER of stone and a hill"), (3, "no spots here"), (4, None), (5, ""), (6, "of the of"), (7, "x y z w")]
+    texts = [(1, "The river of stone, and a hill"), (2, "the RIVER of stone and a hill"), (3, "no spots here"), (4, None), (5, ""), (6, "of the of"), (7, "kk qq zz ww"), (8, "kk qq zz ww vv")]
     df = spark.createDataFrame(texts, "doc_id bigint, text string")
     sigs = {r["doc_id"]: r["sigs"] for r in spotsigs.classes(df).collect()}
-    assert sigs[1] == sigs[2] and sigs[4] == sigs[5] == [] and len(sigs[7]) == 1
+    assert sigs[1] == sigs[2] and sigs[4] == sigs[5] == [] and len(sigs[7]) == 4 and len(set(sigs[7]) & set(sigs[8])) == 2
     for k, t in texts:
         assert len(sigs[k]) == len(spots(t)), (k, spots(t))
     got = spotsigs.classes(docs).collect()
     text_of = {r["doc_id"]: r["text"] for r in docs.collect()}
-    assert all(len(r["sigs"]) == len(spots(text_of[r["doc_id"]])) for r in got if r["doc_id"] not in (403, 405, 406))
+    assert all(len(r["sigs"]) == len(spots(text_of[r["doc_id"]])) for r in got)
+
+
+def test_spotsigs_query(spark):
+    """Every column of the query against brute force, on the whole table."""
+    d = "/root/testdata/sf0.001"
+    rows = sorted((r["doc_id"], r["text"] or "") for r in common.documents(spark, d).collect())
+    got = {r["doc_id"]: r for r in spotsigs.op2_spotsigs(spark, d).collect()}
+    assert len(got) == len(rows)
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    prints = {}
+    for (doc_id, text), (_, after) in zip(rows, rows[1:] + rows[:1]):
+        cut = len(text) // 4
+        changed = text[: len(text) - cut] + after[:cut]
+        r, mine, other, following = got[doc_id], spots(text), spots(changed), spots(after)
+        assert r["n_chars"] == len(text) and r["edited_sha256"] == hashlib.sha256(changed.encode()).hexdigest()
+        assert len(r["fingerprint"]) == 16 * len(mine) and len(r["edited_fingerprint"]) == 16 * len(other) and r["n_signatures"] == len(mine)
+        assert abs(r["near_edited"] - like(mine, other)) < 1e-12 and abs(r["near_next"] - like(mine, following)) < 1e-12
+        assert prints.setdefault(frozenset(mine), r["fingerprint"]) == r["fingerprint"]
+    assert len(set(prints.values())) == len(prints)
 
 
 def test_next_row(spark, docs, rows):
