@@ -185,6 +185,7 @@ def op1_license_scan(spark, sf_dir: str) -> DataFrame:
 
 
 def oracle(threshold: float = THRESHOLD) -> str:
+    """The SQL of lines, paragraphs and whole documents; runs, whose choice is a sequence of steps, have tests instead."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     rows = ",\n".join(f"({k}, {quote(name)}, [{', '.join(map(quote, bigrams_of(text)))}])" for k, (name, text) in enumerate(TEMPLATES))
     return f"""
@@ -193,9 +194,11 @@ u AS (
   SELECT doc_id, 'line' AS unit, i - 1 AS number, string_split(coalesce(text, ''), chr(10))[i] AS text
   FROM documents, range(1, len(string_split(coalesce(text, ''), chr(10))) + 1) AS r(i)
   UNION ALL
-  SELECT doc_id, CASE WHEN len(p) > 1 THEN 'paragraph' ELSE 'document' END, i - 1, p[i]
+  SELECT doc_id, 'document', 0, text FROM documents WHERE contains(trim(text), chr(10))
+  UNION ALL
+  SELECT doc_id, 'paragraph', i - 1, p[i]
   FROM (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '\\n[ \\t\\r]*\\n\\s*') AS p FROM documents), range(1, len(p) + 1) AS r(i)
-  WHERE contains(trim(p[i]), chr(10))
+  WHERE len(p) > 1 AND contains(trim(p[i]), chr(10))
 ),
 w AS (SELECT doc_id, unit, number, string_split(trim(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS words FROM u),
 b AS (SELECT doc_id, unit, number, list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS grams FROM w WHERE len(words) >= 2),
