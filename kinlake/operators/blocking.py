@@ -87,43 +87,58 @@ def second_hop(pairs: DataFrame, target_scores: DataFrame, countries: DataFrame,
     return top_k(hop.join(pairs.select("i", "j"), ["i", "j"], "left_anti"), ["i"], cap).select("i", "j", "score")
 
 
-def embedding_top_k(left: DataFrame, right: DataFrame, k: int = 100, least: float = 0.5, block: int = 512) -> DataFrame:
+def embedding_top_k(left: DataFrame, right: DataFrame, k: int = 100, least: float = 0.5, block: int = 512, chunk: int = 50_000) -> DataFrame:
     """(i, j, score): exact cosine top-K of left.embedding against right.embedding (columns id, embedding).
 
-    The left vectors go in blocks of `block` rows; each block meets every partition of the right side once, as one matrix
-    product, and keeps k rows per query there; a second top-K merges. The right side is never copied or gathered.
-    """
+    The left vectors are written to the shared folder, a row a block of about `block`. Each task of the one scan of the right side holds
+    `chunk` vectors at a time, reads the blocks one after the other, and keeps k targets a query for each product; a second top-K merges.
+    Neither side is gathered or copied to the driver."""
     import numpy as np
     import pandas as pd
 
-    n = left.count()
-    if not n:
-        return left.select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(0.0).alias("score")).limit(0)
-    out = None
-    blocks = -(-n // block)
-    keyed = left.select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("b")) if blocks > 1 else left.select("id", "embedding", F.lit(0).alias("b"))
-    for b in range(blocks):
-        rows = keyed.filter(F.col("b") == b).collect()  # about `block` vectors
-        if not rows:
-            continue
-        ids = np.array([r["id"] for r in rows])
-        q = np.array([r["embedding"] for r in rows], dtype=np.float64)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-
-        def run(batches, ids=ids, q=q):
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                m = np.array(pdf["embedding"].tolist(), dtype=np.float64)
-                m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-                s = np.round(q @ m.T, 6)
-                jj = pdf["id"].to_numpy()
-                keep = min(k, s.shape[1])
-                order = np.lexsort((np.broadcast_to(jj, s.shape), -s), axis=1)[:, :keep]
-                score = np.take_along_axis(s, order, 1)
-                ok = score > least
-                yield pd.DataFrame({"i": np.repeat(ids, keep)[ok.ravel()], "j": jj[order.ravel()][ok.ravel()], "score": score.ravel()[ok.ravel()]})
-
-        part = right.select("id", "embedding").mapInPandas(run, "i bigint, j bigint, score double")
-        out = part if out is None else out.unionByName(part)
-    return top_k(out, ["i"], k).select("i", "j", "score")
+    from kinlake.sources import scratch
+
+    spark = left.sparkSession
+    blocks = max(1, -(-left.count() // block))
+    path = scratch.new_folder(spark, "query-blocks")
+    pack = left.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("b")).agg(F.collect_list(F.struct("id", "embedding")).alias("q"))
+    pack.select("q.id", "q.embedding").write.parquet(path)
+
+    def unit(vectors) -> np.ndarray:
+        m = np.array([np.asarray(v, dtype=np.float64) for v in vectors])
+        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+    def queries():
+        import pyarrow.dataset as ds
+        import pyarrow.fs as pafs
+
+        fs, folder = pafs.FileSystem.from_uri(path) if ":/" in path else (pafs.LocalFileSystem(), path)
+        for batch in ds.dataset(folder, filesystem=fs, format="parquet").to_batches(batch_size=1):
+            for ids, vectors in zip(batch["id"].to_pylist(), batch["embedding"].to_pylist(), strict=True):
+                yield np.array(ids), unit(vectors)
+
+    def meet(ids: list, vectors: list):
+        jj, m = np.concatenate(ids), unit([v for x in vectors for v in x])
+        for ii, q in queries():
+            s = np.round(q @ m.T, 6)
+            keep = min(k, s.shape[1])
+            order = np.lexsort((np.broadcast_to(jj, s.shape), -s), axis=1)[:, :keep]
+            score = np.take_along_axis(s, order, 1)
+            ok = score.ravel() > least
+            yield pd.DataFrame({"i": np.repeat(ii, keep)[ok], "j": jj[order.ravel()][ok], "score": score.ravel()[ok]})
+
+    def run(batches):
+        ids, vectors, held = [], [], 0
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            ids.append(pdf["id"].to_numpy())
+            vectors.append(pdf["embedding"].tolist())
+            held += len(pdf)
+            if held >= chunk:
+                yield from meet(ids, vectors)
+                ids, vectors, held = [], [], 0
+        if held:
+            yield from meet(ids, vectors)
+
+    return top_k(right.select("id", "embedding").mapInPandas(run, "i bigint, j bigint, score double"), ["i"], k).select("i", "j", "score")

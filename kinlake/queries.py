@@ -472,13 +472,13 @@ _JAC = lambda a, b: f"CASE WHEN len(list_distinct(list_concat({a}, {b}))) = 0 TH
 _CON = lambda a, b: f"CASE WHEN least(len({a}), len({b})) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect({a}, {b})) / least(len({a}), len({b}))::DOUBLE END"
 
 
-@query(f"""WITH {S.CANDIDATES}, {_SETF} SELECT i, j, round(0.55::DOUBLE * {_JAC('a', 'b')} + 0.30::DOUBLE * {_JAC('c', 'd')} + 0.10::DOUBLE * {_CON('a', 'b')} + 0.03::DOUBLE * CAST(same AS INT)
- + 0.02::DOUBLE * CASE WHEN greatest(l1, l2) = 0 THEN 0 ELSE least(l1, l2) / greatest(l1, l2)::DOUBLE END, 6) AS score FROM f""")
+@query(f"""WITH {S.CANDIDATES}, {_SETF} SELECT i, j, 0.55::DOUBLE * {_JAC('a', 'b')} + 0.30::DOUBLE * {_JAC('c', 'd')} + 0.10::DOUBLE * {_CON('a', 'b')} + 0.03::DOUBLE * CAST(same AS INT)
+ + 0.02::DOUBLE * CASE WHEN greatest(l1, l2) = 0 THEN 0 ELSE least(l1, l2) / greatest(l1, l2)::DOUBLE END AS score FROM f""")
 def score_weighted(spark, d):
     e = views.entities(spark, d)
     f = features.set_features(features.gather(plan.candidates(e), e))
     s = decide.weighted_score(F.col("n_jac"), F.col("a_jac"), F.col("n_cont"), F.col("same_cty").cast("double"), F.col("len_ratio"))
-    return f.select("i", "j", F.round(s, 6).alias("score"))
+    return f.select("i", "j", s.alias("score"))  # unrounded: both sides add the same terms in the same order
 
 
 @query(f"""WITH {S.CANDIDATES}, {_SETF}, t AS (SELECT id, unnest(list_distinct({S.word_list('name')})) AS t FROM e), w AS (SELECT t, ln((SELECT count(*) FROM e) / count(*)::DOUBLE) AS w FROM t GROUP BY t),
