@@ -189,7 +189,7 @@ def index(nodes: DataFrame, bits: int = BITS, segments: int = SEGMENTS, block: i
 def links(nodes: DataFrame, bits: int = BITS, distance: int = DISTANCE, segments: int = SEGMENTS, block: int = BLOCK) -> DataFrame:
     """Links (a, b) between `nodes` (node, f0, ...), of distinct fingerprints, that join all that is joined by pairs
     within `distance` bits. Exact when distance < 2 * segments; beyond that, a pair is found if one of its segments
-    differs in at most one bit."""
+    differs in at most one bit. A link may come back more than once; an empty table gives none."""
     layout, lanes = _layout(bits, segments), [f"f{i}" for i in range(bits // 64)]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

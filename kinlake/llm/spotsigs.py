@@ -102,7 +102,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, sigs of every row."""
+    """doc_id, sigs of every row, repeated rows and null ids too; null and empty texts have no signatures; an empty table gives no rows."""
     return with_signatures(docs.select(F.col("doc_id").cast("bigint"), "text")).select("doc_id", "sigs")
 
 
@@ -114,7 +114,8 @@ def with_next(docs: DataFrame, columns: list[str], buckets: int | None = None) -
 
     Quantiles of doc_id, values that occur, cut the rows into buckets in one shuffle. The first row of each bucket
     comes along to the bucket before, as a guest at its end, so that no row looks beyond its bucket. Null ids come
-    first. A table of one row is followed by itself.
+    first. Rows that share an id follow each other by text, in one bucket, as ids are taken to be nearly distinct; equal rows in
+    any order. A table of one row is followed by itself; an empty one gives no rows.
     """
     spark = docs.sparkSession
     n = buckets or 4 * shuffle_partitions(spark)

@@ -758,6 +758,127 @@ def test_license_scan_usual_layout(spark):
     assert {g for g in got if g[1] in ("document", "run")} == want and (30, "line", 2, "MIT") in got
 
 
+def test_arc_of_other_kinds(spark, tmp_path):
+    """Plain files, records without an HTTP head, repeated page ids and records without one: types, and ids that are unique."""
+    http = lambda body, page=None: (b"HTTP/1.1 200 OK\r\n" + (f"X-Page-Id: {page}\r\n".encode() if page is not None else b"") + b"\r\n" + body)
+    records = [("dns:host", "text/dns", b"20000101000000\nhost. 60 IN A 1.2.3.4\n"), ("http://a", "text/html", http(b"same", 7)), ("http://b", "text/html", http(b"same", 7)), ("http://c", "text/html", http(b"same", 3)), ("http://d", "text/html", http(b"same")), ("http://d", "text/html", http(b"same"))]
+    plain = arc_warc.arc_version_block(1, "f") + b"".join(f"{u} 1.2.3.4 19990102030405 {m} {len(b)}\n".encode() + b + b"\n" for u, m, b in records)
+    (tmp_path / "old.arc").write_bytes(plain)
+    files = spark.createDataFrame([(str(tmp_path / "old.arc"),)], "file string")
+    got = arc_warc.read_warcs(arc_warc.convert(files, str(tmp_path / "warc"))).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["url"], []).append((r["record_type"], r["page_id"], r["refers_to"]))
+    assert by["dns:host"] == [("resource", None, None)] and by["http://a"] == by["http://b"] == [("response", 7, None)]
+    assert by["http://c"] == [("revisit", 3, 7)] and by["http://d"] == [("response", None, None)] * 2
+    ids = [r["record_id"] for r in got]
+    assert len(set(ids)) == len(ids) == 6
+    import glob
+    import io
+
+    [path] = glob.glob(str(tmp_path / "warc" / "*.gz"))
+    fields = [f for f, _ in arc_warc.parse_warc(io.BytesIO(open(path, "rb").read()))]
+    assert fields[1]["content-type"] == "text/dns" and {f["warc-refers-to"] for f in fields if f["warc-type"] == "revisit"} <= {f["warc-record-id"] for f in fields if f["warc-type"] == "response"}
+
+
+def test_stream_ids_must_fit(docs, tmp_path):
+    import io
+
+    writer = arrow_stream.StreamWriter(io.BytesIO(), 8, 2)
+    with pytest.raises(ValueError):
+        writer.append(np.array([1, 70_000]))
+    assert arrow_stream.vocabulary_size(vocabulary("word_bpe_49k.json")) == 49_408
+
+
+def test_stages_keep_what_their_operators_keep(spark, docs):
+    """Each of the pipeline's stages against its operator's verdicts on an odd table whose columns have clashing names."""
+    odd = docs.withColumn("high_symbols_per_word", F.lit(0.0)).withColumn("group", F.lit("g")).withColumn("_stays", F.lit(1)).withColumn("host", F.lit("h"))
+    rows = sorted(map(repr, odd.collect()))
+    labels = spark.createDataFrame([(d, int(d % 7 > 0)) for d in range(150)] + [(406, 0)], "doc_id bigint, quality int")
+    key = lambda df: sorted(repr((r["doc_id"], r["kept"])) for r in df.collect())
+    kept = site_bayes.keep(odd, labels)
+    want = [r["doc_id"] for r in site_bayes.score(odd, labels).collect() if r["kept"]]
+    assert kept.columns == odd.columns and sorted(map(repr, want)) == sorted(repr(r["doc_id"]) for r in kept.collect()) and set(map(repr, kept.collect())) <= set(rows)
+    kept = quality_rules.keep(odd)
+    verdicts = quality_rules.judge(odd)
+    want = [r["doc_id"] for r in verdicts.collect() if r["kept"]]
+    assert kept.columns == odd.columns and sorted(map(repr, want)) == sorted(repr(r["doc_id"]) for r in kept.collect()) and key(verdicts) == key(quality_rules.judge(docs))
+    kept = neardup.deduplicate(odd)
+    found = {}
+    for r in neardup.groups(odd.filter("doc_id IS NOT NULL")).collect():
+        found[r["group"]] = min(found.get(r["group"], r["doc_id"]), r["doc_id"])
+    assert kept.columns == odd.columns and sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == sorted(found.values())
+    mixed = pfair.mixed(odd, block_rows=4)
+    order = [r["doc_id"] for r in common.materialise(mixed, "mixed").withColumn("_at", common.file_position()).orderBy("_at").collect()]
+    first = {}
+    for r in pfair.mix(odd, block_rows=4).collect():
+        if r["doc_id"] is not None:
+            first[r["doc_id"]] = min(first.get(r["doc_id"], r["position"]), r["position"])
+    at = [first[d] for d in order if d is not None]
+    assert sorted(map(repr, mixed.collect())) == rows and at == sorted(at)
+    for stage in (site_bayes.keep(empty(odd), labels), quality_rules.keep(empty(odd)), neardup.deduplicate(empty(odd)), pfair.mixed(empty(odd))):
+        assert stage.columns == odd.columns and stage.count() == 0
+
+
+def brute_windows(rows, capacity, window):
+    """Pieces (doc_id, start, length, crc, tokens) in order -> {piece: (sequence, offset)}, window by window."""
+    out, before = {}, 0
+    for w in range(0, len(rows), window):
+        part = rows[w : w + window]
+        count = {}
+        for r in part:
+            count[r[2]] = count.get(r[2], 0) + 1
+        slots = {}
+        for n, (lengths, times) in enumerate(packing.shortest_pack_first(count, capacity)):
+            for copy in range(times):
+                at = 0
+                for length in lengths:
+                    slots.setdefault(length, []).append(((n, copy), at))
+                    at += length
+        taken, place = {}, []
+        for k, r in enumerate(part):
+            place.append(slots[r[2]][taken.get(r[2], 0)])
+            taken[r[2]] = taken.get(r[2], 0) + 1
+        first = {}
+        for k, (pack, _) in enumerate(place):
+            first.setdefault(pack, k)
+        number = {pack: before + i for i, pack in enumerate(sorted(first, key=first.get))}
+        for r, (pack, at) in zip(part, place):
+            out[r[:2]] = (number[pack], at)
+        before += len(first)
+    return out
+
+
+def test_pack_in_order(spark, plain):
+    """Every sequence and offset of the pipeline's packing against a version piece by piece."""
+    rng = random.Random(9)
+    docs = spark.createDataFrame([(k, prose(rng, rng.randint(1, 80)), 1000 - k) for k in range(150)], "doc_id bigint, text string, at bigint")
+    got = packing.pack_in_order(docs, "at", 64, window=50).collect()
+    ids, rows = plain("byte_bpe_50k.json"), []
+    for doc_id, text, _ in sorted(docs.collect(), key=lambda r: r["at"]):
+        x = ids(text) + [0]
+        rows += [(doc_id, k, len(x[k : k + 64]), crc(x[k : k + 64]), len(x)) for k in range(0, len(x), 64)]
+    assert sorted(tuple(r)[:5] for r in got) == sorted(rows)
+    want = brute_windows(rows, 64, 50)
+    full = {}
+    for r in got:
+        full.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert sorted(full) == list(range(len(full))) and len(full) == 1 + max(s for s, _ in want.values())
+    # Patterns of equal lengths may be dealt out in another order: what must agree is each window's patterns and each piece's window.
+    shape = lambda of: sorted((s, tuple(sorted(x))) for s, x in of.items())
+    mine = {}
+    for r in rows:
+        s, o = want[r[:2]]
+        mine.setdefault(s, []).append((o, r[2]))
+    assert sorted(x for _, x in shape(mine)) == sorted(x for _, x in shape(full))
+    for parts in full.values():
+        at = 0
+        for o, n in sorted(parts):
+            assert o == at
+            at += n
+        assert at <= 64
+
+
 def test_pipeline(spark, tmp_path):
     d = "/root/testdata/sf0.001"
     docs = common.documents(spark, d)
