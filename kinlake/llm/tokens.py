@@ -39,6 +39,21 @@ _BYTE = re.compile(rf" ?[{_LETTERS}]+(?=[ \n.,;:!?)]|\Z)|[{WHITE}]+(?![^{WHITE}]
 _WORD = re.compile(rf"[{_LETTERS}]+(?=[ \n.,;:!?)]|\Z)|[^{WHITE}]+")
 
 
+class _Units(dict):
+    """Unit -> its ids' bytes. What is missing is encoded, and kept unless it is long; a full cache starts afresh."""
+
+    def __init__(self, encode):
+        self.encode = encode
+
+    def __missing__(self, unit: str) -> bytes:
+        ids = self.encode(unit)
+        if len(unit) <= KEPT_LENGTH:
+            if len(self) >= CACHE_UNITS:
+                self.clear()
+            self[unit] = ids
+        return ids
+
+
 class CachedEncoder:
     def __init__(self, path: str):
         import os
@@ -51,38 +66,23 @@ class CachedEncoder:
         self.special = [t.content for t in added]
         #: A vocabulary that looks for special tokens in the normalised text gets every text whole.
         self.whole = any(t.normalized for t in added)
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         self.lower = self.tokenizer.normalizer is not None
         self.find = (_WORD if self.lower else _BYTE).findall
-        self.units: dict[str, bytes] = {}
+        self.units = _Units(self._encoded)
 
     def __call__(self, text: str) -> bytes:
         """The text's ids as little-endian unsigned 32-bit integers."""
         if self.whole or any(s in text for s in self.special):
             return array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        units = self.find(text)
-        got = list(map(self.units.get, units))
-        if None in got:
-            found = self._encoded(list({u for u, ids in zip(units, got, strict=True) if ids is None}))
-            got = [found[u] if ids is None else ids for u, ids in zip(units, got, strict=True)]
-            if len(self.units) + len(found) > CACHE_UNITS:
-                self.units.clear()
-            self.units.update((u, ids) for u, ids in found.items() if len(u) <= KEPT_LENGTH)
-        return b"".join(got)
-
-    def _encoded(self, new: list[str]) -> dict[str, bytes]:
-        """Units of Latin letters are one pretoken, which goes straight to the model; others take the whole way."""
-        out, rest, tokenize = {}, [], self.model.tokenize
-        for u in new:
-            if _PURE.fullmatch(u):
-                s = (u.lower() if self.lower else u).encode().decode("latin-1").translate(_BYTES)
-                out[u] = array.array("I", [t.id for t in tokenize(s)]).tobytes()
-            else:
-                rest.append(u)
-        if rest:
-            for u, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-                out[u] = array.array("I", e.ids).tobytes()
-        return out
+        return b"".join(map(self.units.__getitem__, self.find(text)))
+
+    def _encoded(self, unit: str) -> bytes:
+        """A unit of Latin letters is one pretoken, which goes straight to the model; others take the whole way."""
+        if _PURE.fullmatch(unit):
+            s = (unit.lower() if self.lower else unit).encode().decode("latin-1").translate(_BYTES)
+            return array.array("I", [t.id for t in self.tokenize(s)]).tobytes()
+        return array.array("I", self.tokenizer.encode(unit, add_special_tokens=False).ids).tobytes()
 
 
 @lru_cache(maxsize=2)
