@@ -10,6 +10,7 @@ similarity is computed only if the lengths allow it. All of it runs on JVM opera
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -109,8 +110,9 @@ def classes(docs: DataFrame) -> DataFrame:
 _FIRST = -(1 << 63)
 
 
-def with_next(docs: DataFrame, columns: list[str], buckets: int | None = None) -> DataFrame:
-    """Rows with struct `next`: the `columns` of the row after it by (doc_id, text), after the last the first's.
+def with_next(docs: DataFrame, columns: list[str], buckets: int | None = None, between: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """Rows with struct `next`: the `columns` of the row after it by (doc_id, text), after the last the first's. `between` may add columns
+    behind the shuffle, which then are not part of it.
 
     Quantiles of doc_id, values that occur, cut the rows into buckets in one shuffle. The first row of each bucket
     comes along to the bucket before, as a guest at its end, so that no row looks beyond its bucket. Null ids come
@@ -128,13 +130,13 @@ def with_next(docs: DataFrame, columns: list[str], buckets: int | None = None) -
     dealt = keyed.withColumn("_in", F.explode(F.array_compact(F.array(F.struct(F.col("_own").alias("b"), F.lit(0).alias("g")), F.when(guest.isNotNull(), F.struct(guest.alias("b"), F.lit(1).alias("g")))))))
     dealt = dealt.select("*", F.col("_in.b").alias("_b"), F.col("_in.g").alias("_g")).drop("_in", "_own")
     w = Window.partitionBy("_b").orderBy("_g", "_key", "text")
-    return dealt.withColumn("next", F.lead(F.struct(*columns)).over(w)).filter("_g = 0").drop("_b", "_g", "_key")
+    return between(dealt.repartition("_b")).withColumn("next", F.lead(F.struct(*columns)).over(w)).filter("_g = 0").drop("_b", "_g", "_key")
 
 
 def op2_spotsigs(spark, sf_dir: str) -> DataFrame:
     """Every document's fingerprint, its edited text's, and their likeness; see `jaccard` and `length_partition`."""
     docs = documents(spark, sf_dir).select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text"))
-    docs = with_next(with_signatures(docs), ["text", "sigs"])
+    docs = with_next(docs, ["text", "sigs"], between=with_signatures)
     n = F.length("text")
     edited = F.concat(F.expr("substring(text, 1, length(text) - length(text) div 4)"), F.expr("substring(next.text, 1, cast(length(text) div 4 as int))"))
     docs = with_signatures(docs.withColumn("edited", edited), "edited", "edited_sigs")
