@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinlake.functions import text as T
@@ -102,11 +102,13 @@ def rescore(pairs: DataFrame, post: dict[str, DataFrame], c: Config = DEFAULT) -
 def candidates(records: DataFrame, c: Config = DEFAULT, post: dict[str, DataFrame] | None = None) -> DataFrame:
     """i, j, src, fwd, cc, cm, ca, and p = cm."""
     s = scores(records, c, post)
-    # Every channel's score of a pair comes from one union and one grouped pass; ranks are windows over it.
-    tagged = [s[name].select("i", "j", "src", *[F.col("score").alias(x) if x == col else F.lit(None).cast("double").alias(x) for x in ("cc", "cm", "ca")]) for name, col in (("char", "cc"), ("comb", "cm"), ("addr", "ca"))]
-    every = tagged[0].unionByName(tagged[1]).unionByName(tagged[2]).groupBy("i", "j", "src").agg(*[F.max(x).alias(x) for x in ("cc", "cm", "ca")])
-    rank = lambda by, x: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc_nulls_last(x), "i", "j"))
-    hit = lambda col, by, k: F.col(col).isNotNull() & (rank(by, col) <= k)
-    marked = every.withColumn("f", hit("cc", ["i", "src"], c.k_char) | hit("cm", ["i", "src"], c.k_comb) | hit("ca", ["i", "src"], c.k_addr)).withColumn("r", hit("cm", ["j"], c.k_rev))
-    kept = marked.filter("f OR r").select("i", "j", "src", F.col("f").cast("int").alias("fwd"), *[F.coalesce(x, F.lit(0.0)).alias(x) for x in ("cc", "cm", "ca")])
-    return kept.withColumn("p", F.col("cm"))
+    # Each top-K has a limited window of its own; only what they keep meets the other channels' scores, which lie dealt by the same keys.
+    lists = [(blocking.top_k(s["char"], ["i", "src"], c.k_char), 1), (blocking.top_k(s["comb"], ["i", "src"], c.k_comb), 1), (blocking.top_k(s["addr"], ["i", "src"], c.k_addr), 1), (blocking.top_k(s["comb"], ["j"], c.k_rev), 0)]
+    out = None
+    for df, fwd in lists:
+        part = df.select("i", "j", "src", F.lit(fwd).alias("fwd"))
+        out = part if out is None else out.unionByName(part)
+    out = out.groupBy("i", "j", "src").agg(F.max("fwd").alias("fwd"))
+    for channel, name in (("char", "cc"), ("comb", "cm"), ("addr", "ca")):
+        out = out.join(s[channel].select("i", "j", "src", F.col("score").alias(name)), ["i", "j", "src"], "left").na.fill(0.0, [name])
+    return out.withColumn("p", F.col("cm"))

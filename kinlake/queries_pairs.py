@@ -476,3 +476,42 @@ def rewritten_names(spark, d):
     """Names with the words of a dictionary replaced."""
     table = Q.rows(spark, [("the", "article"), ("und", "and"), ("de", "of")], "token string, plain string")
     return kernel.rewrite(views.entities(spark, d).select("id", "name"), "name", table, "name_map").select("id", "name_map")
+
+
+# --- learning ----------------------------------------------------------------------------------------------------------
+
+
+def _labelled(spark, d):
+    """Candidate pairs with the context features and their labels."""
+    from kinlake.operators import context
+
+    p = context.reverse_context(context.context(plan.candidates(views.entities(spark, d))))
+    y = views.truth(spark, d).select("i", "j", F.lit(1).alias("y")).distinct()
+    return scratch.materialise(p.join(y, ["i", "j"], "left").na.fill(0, ["y"]), "labelled")
+
+
+_CHEAP = ("fwd", "cc", "cm", "ca", "rk_cc", "gap_cc", "rk_cm", "gap_cm", "rk_ca", "gap_ca", "n_cand", "rev_rk_cm", "rev_gap_cm", "rev_n")
+
+
+@query()
+def pruner_importance(spark, d):
+    """What the pruner's trees gain by each feature, over its folds."""
+    from kinlake.operators import models
+
+    report: dict = {}
+    models.cross_fit(_labelled(spark, d), "y", _CHEAP, "p0", 2, 3, 5, report=report)
+    return Q.rows(spark, models.importance(report, "p0"), "feature string, gain double")
+
+
+@query()
+def cv_probabilities(spark, d):
+    """Out-of-fold probabilities by five folds of anchors, beside those of the model of all pairs."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    from kinlake.operators import models
+
+    pairs = _labelled(spark, d)
+    scored, model = models.train_all(pairs, "y", _CHEAP, "p", 5, 3, 5)
+    both = model.transform(VectorAssembler(inputCols=list(_CHEAP), outputCol="_x").transform(scored))
+    return both.select("i", "j", "y", "p", vector_to_array("probability")[1].alias("p_all"))
