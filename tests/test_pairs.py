@@ -317,3 +317,40 @@ def test_linkage(spark, tmp_path):
     found = {(r["i"], int(j)) for r in lists for j in r["matched_entity_ids"].split(",") if j}
     true = {(r["i"], r["j"]) for r in truth.collect()}
     assert found & true  # seven links among 200 documents: what the models learn from them is little
+
+
+def test_coherence(spark, records):
+    """Similarity to an anchor's other candidates, against a version candidate by candidate."""
+    rng = random.Random(8)
+    by = {r["id"]: r for r in records.collect()}
+    rows = [(i, j, round(rng.random(), 6)) for i in by if i % 3 == 0 for j in rng.sample([k for k in by if k % 3], rng.randint(1, 9))]
+    df = spark.createDataFrame(rows, "i bigint, j bigint, p double")
+    groups = {}
+    for i, j, p in rows:
+        groups.setdefault(i, []).append((-p, j))
+    near = {(r["i"], r["j"]): r for r in features.reference_coherence(df, records).collect()}
+    sets = {(r["i"], r["j"]): r for r in features.set_coherence(df, records, 0.5, 3).collect()}
+    assert len(near) == len(sets) == len(rows)
+    numbers = lambda j: {t for t in by[j]["addr"].split() if t.isdigit()}
+    like = lambda a, b: fuzzy.token_set_ratio(a, b)
+    for i, items in groups.items():
+        items.sort()
+        for k, (_, j) in enumerate(items):
+            ref = items[1 if k == 0 else 0] if len(items) > 1 else None
+            r = near[i, j]
+            if ref is None:
+                assert (r["ref"], r["p_ref"], r["ref_sim"], r["ref_ratio"], r["ref_addr"]) == (None, 0.0, -1.0, -1.0, -1.0)
+            else:
+                a, b = by[j], by[ref[1]]
+                assert r["ref"] == ref[1] and r["p_ref"] == -ref[0]
+                assert r["ref_sim"] == (like(a["name"], b["name"]) if a["name"] and b["name"] else -1) and r["ref_addr"] == (like(a["addr"], b["addr"]) if a["addr"] and b["addr"] else -1)
+            refs = [(p, x) for p, x in items[:3] if -p >= 0.5 and x != j]
+            r = sets[i, j]
+            assert r["n_conf"] == len(refs)
+            if refs:
+                s, t = [like(by[j]["name"], by[x]["name"]) for _, x in refs], [like(by[j]["addr"], by[x]["addr"]) for _, x in refs]
+                num = [len(numbers(j) & numbers(x)) / len(numbers(j) | numbers(x)) if numbers(j) and numbers(x) else 0.0 for _, x in refs]
+                want = (max(s), max(t), max(num), max((u + v) / 2 for u, v in zip(s, t)), sum(-p for p, _ in refs) / len(refs))
+                assert all(abs(r[c] - w) < 1e-9 for c, w in zip(("name", "addr", "num", "both", "p_conf"), want))
+            else:
+                assert all(r[c] == -1.0 for c in ("name", "addr", "num", "both", "p_conf"))
