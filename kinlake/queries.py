@@ -491,8 +491,8 @@ SELECT i, j, CAST(n1 = n2 AS INT) AS n_exact, round({_JAC('a', 'b')}, 6) AS n_ja
 FROM f LEFT JOIN ia USING (i, j) LEFT JOIN ib USING (i, j) LEFT JOIN ic USING (i, j)""")
 def pair_features_set(spark, d):
     e = views.entities(spark, d)
-    f = features.set_features(features.gather(plan.candidates(e), e))
-    f = features.idf_features(f, vectors.idf_weights(e.withColumn("t", T.words(F.col("name"))), "t"))
+    idf = vectors.idf_weights(e.withColumn("t", T.words(F.col("name"))), "t")
+    f = features.set_features(features.idf_features(features.gather(plan.candidates(e), e), e, idf))
     r = [F.round(c, 6).alias(c) for c in ("n_jac", "n_cont", "a_jac", "a_cont", "n_idf_jac", "n_idf_min")]
     return f.select("i", "j", "n_exact", "same_cty", "a_missing", *r)
 
