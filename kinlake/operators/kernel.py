@@ -17,7 +17,7 @@ SETS = (
     "n_exact", "n_jac", "n_idf_jac", "n_idf_min", "n_first", "n_acro", "n_len1", "n_len2", "n_ntok1", "n_ntok2", "n_digits", "a_missing",
     "a_idf_jac", "a_idf_min", "a_postal", "a_num_jac", "a_name_in", "a_wjac", "a_wcont", "a_widf", "a_num_conflict",
 )
-MAPPED = ("n_jac_map", "a_jac_map")
+MAPPED = ("n_jac_map", "n_tset_map", "a_jac_map")
 STRINGS = ("n_ratio", "n_partial", "n_tsort", "n_tset", "n_jw", "nf_ratio", "a_tset", "a_ratio", "a_partial")
 
 
@@ -125,12 +125,16 @@ def rewrite(records: DataFrame, column: str, table: DataFrame, out: str, key: st
 
 
 def mapped_features(pairs: DataFrame, records: DataFrame) -> DataFrame:
-    """MAPPED: Jaccard of the words of name_map and addr_map, the records' names and addresses with equivalent words made one."""
+    """MAPPED: Jaccard of the words of name_map and addr_map, the records' names and addresses with equivalent words made one, and the names'
+    token set ratio."""
     out = pairs
     for key, k in (("i", 1), ("j", 2)):
         out = out.join(records.select(F.col("id").alias(key), *[F.array_distinct(T.words(F.col(c))).alias(f"_{c}{k}") for c in ("name_map", "addr_map")]), key)
     both = lambda c: (F.size(f"_{c}1") > 0) & (F.size(f"_{c}2") > 0)
     j = lambda c: jaccard(F.col(f"_{c}1"), F.col(f"_{c}2"))
+    sets = [F.array_join(f"_name_map{k}", " ") for k in (1, 2)]
+    out = spread(out).withColumn("_t", fuzzy.pairwise("token_set_ratio")(*sets))  # 0 where one is empty
+    out = out.withColumn("n_tset_map", F.col("_t")).drop("_t")
     out = out.withColumn("n_jac_map", F.when(both("name_map"), j("name_map")).otherwise(0.0)).withColumn("a_jac_map", F.when(both("addr_map"), j("addr_map")).otherwise(-1.0))
     return out.drop(*[f"_{c}{k}" for c in ("name_map", "addr_map") for k in (1, 2)])
 

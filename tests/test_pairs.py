@@ -160,6 +160,10 @@ def test_rewrite_and_equivalences(spark):
     assert {r["id"]: r["m"] for r in kernel.rewrite(rows, "name", table, "m").collect()} == {1: "the manufacturing trading manufacturing", 2: "nothing here", 3: ""}
     with pytest.raises(ValueError):
         learn.equivalences(words, 15, limit=1)
+    maps = spark.createDataFrame([(1, "acme trading", "main street"), (2, "acme trading co", ""), (3, "", "main")], "id bigint, name_map string, addr_map string")
+    two = spark.createDataFrame([(1, 2), (1, 3)], "i bigint, j bigint")
+    got = {r["j"]: (r["n_jac_map"], r["n_tset_map"], r["a_jac_map"]) for r in kernel.mapped_features(two, maps).collect()}
+    assert got == {2: (pytest.approx(2 / 3), 100.0, -1.0), 3: (0.0, 0.0, 0.5)}
 
 
 def test_split_tables(spark, tmp_path):
