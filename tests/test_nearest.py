@@ -11,7 +11,7 @@ from kinlake.sources import views
 
 DATA = "/root/testdata/sf0.001"
 #: Queries that must not join postings into a table of pairs.
-STREAMED = "candidate_cache best_threshold blocking_recall blocking_recall_by_country cap_candidates cap_blended".split()
+STREAMED = "candidate_cache best_threshold blocking_recall blocking_recall_by_country cap_candidates cap_blended context_rank_ties".split()
 
 
 @pytest.mark.parametrize("name", STREAMED)
