@@ -197,8 +197,7 @@ def block_ngram_topk_distinct(spark, d):
 @query(f"WITH {S.RECORDS}, {Q._SHARED(Q._BLOCK_WORDS)} SELECT i, j, score AS shared FROM ({S.top('s', 'i', 6)})")
 def block_prerank(spark, d):
     """The six targets of either source that share most words, before any dearer score."""
-    a, b = Q._sides(spark, d)
-    return blocking.top_k(blocking.overlap(a, b, Q._block_words()), ["i"], 6, "shared").select("i", "j", "shared")
+    return Q._most_shared(Q._units(spark, d, Q._block_words()), 6)
 
 
 @query(f"""WITH {S.RECORDS}, p AS (SELECT id, src, f FROM (SELECT id, src, unnest({_GRAMS3}) AS f FROM e WHERE src > 0) QUALIFY row_number() OVER (PARTITION BY f ORDER BY id) <= 1000),
