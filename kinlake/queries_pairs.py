@@ -218,7 +218,7 @@ def block_reverse_char(spark, d):
 
 @query(f"WITH {S.CHANNELS} SELECT i, j, src, score FROM ({S.top('s_addr', 'j', 3)})")
 def block_reverse_addr(spark, d):
-    return blocking.top_k(plan.scores(views.entities(spark, d), channels=("addr",))["addr"], ["j"], 3).select("i", "j", "src", "score")
+    return plan.reverse(plan.units(views.entities(spark, d), channels=("addr",)), [("addr", 3)]).select("i", "j", "src", "score")
 
 
 _ADDR_FEATURES = f"list_concat(list_transform(list_filter({S.word_list('addr')}, lambda w: length(w) > 1 OR regexp_matches(w, '^[0-9]$')), lambda w: 'a' || w), CASE WHEN postal <> '' THEN ['p' || postal] ELSE [] END)"
