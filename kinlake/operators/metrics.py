@@ -31,15 +31,18 @@ def recall(candidates: DataFrame, truth: DataFrame, by: list[str] | None = None)
 
 
 def threshold_sweep(pairs: DataFrame, truth: DataFrame, anchors: DataFrame, thresholds: list[float]) -> DataFrame:
-    """(threshold, macro_f05) of each threshold. Scores are binned once per anchor, so that the sweep reads sums and not pairs."""
-    ts = F.array(*[F.lit(float(t)) for t in thresholds])
+    """(threshold, macro_f05) of each threshold. A pair is shuffled once, with how many thresholds it reaches; an anchor's pairs are counted by that number,
+    and the sweep reads these counts."""
+    levels = sorted(float(t) for t in thresholds)
     t = truth.select("i", "j", F.lit(1).alias("y")).distinct()
     n_true = t.groupBy("i").agg(F.count("*").alias("n_true"))
-    scored = pairs.join(t, ["i", "j"], "left").select("i", F.coalesce("y", F.lit(0)).alias("y"), F.explode(F.filter(ts, lambda x: x <= F.col("p"))).alias("threshold"))
-    counts = scored.groupBy("i", "threshold").agg(F.count("*").alias("n_pred"), F.sum("y").alias("tp"))
-    every = anchors.select("i").select("i", F.explode(ts).alias("threshold"))
-    out = every.join(counts, ["i", "threshold"], "left").join(n_true, "i", "left").na.fill(0, ["n_pred", "tp", "n_true"])
-    return out.groupBy("threshold").agg(F.round(F.avg(f05(F.col("tp"), F.col("n_pred"), F.col("n_true"))), 6).alias("macro_f05"))
+    level = sum(((F.col("p") >= x).cast("int") for x in levels), F.lit(0))
+    scored = pairs.select("i", "j", level.alias("level")).filter("level > 0").join(t, ["i", "j"], "left").groupBy("i", "level").agg(F.count("*").alias("n"), F.count("y").alias("tp"))
+    counts = scored.groupBy("i").agg(F.collect_list(F.struct("level", "n", "tp")).alias("c"))
+    out = anchors.select("i").join(counts, "i", "left").join(n_true, "i", "left").na.fill(0, ["n_true"])
+    out = out.select("c", "n_true", F.posexplode(F.array(*[F.lit(x) for x in levels])).alias("k", "threshold"))
+    above = lambda x: F.coalesce(F.aggregate("c", F.lit(0).cast("bigint"), lambda s, v: s + F.when(v["level"] > F.col("k"), v[x]).otherwise(0)), F.lit(0))
+    return out.groupBy("threshold").agg(F.round(F.avg(f05(above("tp"), above("n"), F.col("n_true"))), 6).alias("macro_f05"))
 
 
 def error_category(n_pred: Column, n_true: Column, tp: Column, reachable: Column) -> Column:

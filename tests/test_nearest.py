@@ -1,11 +1,12 @@
 """Top lists of sparse vectors, against SQL and against the join of postings, and without any shuffle of pairs."""
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from kinlake import catalogue
-from kinlake.operators import blocking, nearest, vectors
+from kinlake.operators import blocking, metrics, nearest, vectors
 from kinlake.plans import candidates as plan
 from kinlake.sources import views
 
@@ -13,6 +14,9 @@ DATA = "/root/testdata/sf0.001"
 #: Queries that must not join postings into a table of pairs.
 STREAMED = "candidate_cache best_threshold blocking_recall blocking_recall_by_country cap_candidates cap_blended context_rank_ties competition_features component_match block_cosine_addr block_token_topk block_cosine_comb block_cosine_v12_comb block_prerank block_reverse_addr block_reverse_topk block_token second_hop union_channels block_ngram block_ngram2 block_ngram_capped block_ngram_topk_distinct block_ngram_topk".split()
 
+#: Queries over the candidates: the pairs' scores are not shuffled to make these.
+UNSHUFFLED = "best_threshold".split()
+
 
 @pytest.mark.parametrize("name", STREAMED)
 def test_no_pairs_are_shuffled(spark, monkeypatch, name):
@@ -52,3 +56,45 @@ def test_candidates_equal_the_joined_ones(spark):
     post = {x: plan.posts(e, x) for x in ("char", "word", "addr")}
     want, got = plan.candidates(e, post=post), plan.candidates(e)
     assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_features_are_packed():
+    """Repeats, rows without any, unknown features, large steps: what is read back is what was written, in few bytes."""
+    import pyarrow as pa
+
+    keys = np.arange(0, 600_000, 2)
+    rows = [[4, 4, 4, 0, 1], [], None, [599_998, 0, 20_000], [3], list(range(0, 2_000, 2))]
+    packed = nearest._pack(pa.array(rows, pa.list_(pa.int64())), keys)
+    f, tf, ends = nearest._unpack(packed)
+    got = [list(zip(f[a:b].tolist(), tf[a:b].tolist())) for a, b in zip(ends[:-1], ends[1:])]
+    assert got == [[(0, 1), (2, 3)], [], [], [(0, 1), (10_000, 1), (299_999, 1)], [], [(k, 1) for k in range(1_000)]]
+    assert packed.nbytes < 2 * 1_100
+    assert [len(x) for x in nearest._unpack(packed.slice(1, 2))] == [0, 0, 3] and nearest._unpack(packed.slice(3, 1))[0].tolist() == [0, 10_000, 299_999]
+
+
+@pytest.mark.parametrize("name", UNSHUFFLED)
+def test_scored_pairs_leave_their_tasks_without_a_shuffle(spark, monkeypatch, name):
+    """The forward candidates are written by the tasks that score them; only ids are shuffled to tell which reverse ones are new."""
+    plans, write = {}, plan.materialise
+
+    def watched(df, table):
+        plans[table] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, table)
+
+    monkeypatch.setattr(plan, "materialise", watched)
+    catalogue.QUERIES[name](spark, DATA)
+    assert "MapInArrow" in plans["forward"] and "Exchange" not in plans["forward"]
+    assert all("s_char" not in x and "cc" not in x for x in plans["reverse"].split("\n") if "parquet" in x)
+
+
+def test_sweep_counts_a_pair_once(spark):
+    """However many thresholds a pair reaches, it is one row; equal to counting threshold by threshold."""
+    p = spark.createDataFrame([(1, 10, 0.9), (1, 11, 0.35), (2, 12, 0.2), (2, 13, 0.5), (3, 14, None), (5, 10, 0.31)], "i bigint, j bigint, p double")
+    t = spark.createDataFrame([(1, 10), (2, 12), (4, 15), (5, 10)], "i bigint, j bigint")
+    a = spark.range(1, 7).withColumnRenamed("id", "i")
+    grid = [0.3, 0.31, 0.5, 0.95]
+    sweep = metrics.threshold_sweep(p, t, a, grid)
+    want = {x: metrics.macro_f05(p.filter(F.col("p") >= x), t, a).first()["macro_f05"] for x in grid}
+    assert {r["threshold"]: r["macro_f05"] for r in sweep.collect()} == want
+    plan_text = sweep._jdf.queryExecution().optimizedPlan().toString()
+    assert plan_text.index("Generate") < plan_text.index("Join")  # the thresholds multiply anchors' counts, above all joins of pairs
