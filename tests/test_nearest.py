@@ -15,7 +15,7 @@ DATA = "/root/testdata/sf0.001"
 STREAMED = "candidate_cache best_threshold blocking_recall blocking_recall_by_country cap_candidates cap_blended context_rank_ties competition_features component_match block_cosine_addr block_token_topk block_cosine_comb block_cosine_v12_comb block_prerank block_reverse_addr block_reverse_topk block_token second_hop union_channels block_ngram block_ngram2 block_ngram_capped block_ngram_topk_distinct block_ngram_topk".split()
 
 #: Queries over the candidates: the pairs' scores are not shuffled to make these.
-UNSHUFFLED = "best_threshold blocking_recall blocking_recall_by_country cap_candidates cap_blended context_rank_ties competition_features".split()
+UNSHUFFLED = "best_threshold blocking_recall blocking_recall_by_country cap_candidates cap_blended context_rank_ties competition_features component_match".split()
 
 
 @pytest.mark.parametrize("name", STREAMED)
