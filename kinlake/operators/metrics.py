@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinlake.sources.scratch import materialise
+
 
 def f05(tp: Column, predicted: Column, actual: Column) -> Column:
     """1 if both sets are empty, 0 without a hit, else 1.25 P R / (0.25 P + R) = 1.25 tp / (predicted + 0.25 actual)."""
@@ -25,8 +27,11 @@ def macro_f05(predicted: DataFrame, truth: DataFrame, anchors: DataFrame) -> Dat
 
 
 def recall(candidates: DataFrame, truth: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Share of true pairs among the candidates, in all or by columns of `truth`."""
-    hit = truth.join(candidates.select("i", "j", F.lit(1).alias("hit")).distinct(), ["i", "j"], "left")
+    """Share of true pairs among the candidates, in all or by columns of `truth`. The true pairs are written first, so that their size is known: where
+    they are few, candidates that are none of them are dropped where they lie, and only hits are shuffled."""
+    truth = materialise(truth, "truth")
+    found = candidates.select("i", "j").join(truth.select("i", "j"), ["i", "j"], "left_semi").distinct()
+    hit = truth.join(found.withColumn("hit", F.lit(1)), ["i", "j"], "left")
     return hit.groupBy(*(by or [])).agg(F.count("*").alias("n_true"), F.count("hit").alias("n_found"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("recall"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kinlake import catalogue
 from kinlake.operators import blocking, metrics, nearest, vectors
 from kinlake.plans import candidates as plan
-from kinlake.sources import views
+from kinlake.sources import scratch, views
 
 DATA = "/root/testdata/sf0.001"
 #: Queries that must not join postings into a table of pairs.
@@ -98,3 +98,39 @@ def test_sweep_counts_a_pair_once(spark):
     assert {r["threshold"]: r["macro_f05"] for r in sweep.collect()} == want
     plan_text = sweep._jdf.queryExecution().optimizedPlan().toString()
     assert plan_text.index("Generate") < plan_text.index("Join")  # the thresholds multiply anchors' counts, above all joins of pairs
+
+
+#: Queries over the candidates: of what makes these nothing stays behind, and no forward pair is shuffled, not even its ids.
+TIDY = "blocking_recall".split()
+
+
+@pytest.mark.parametrize("name", TIDY)
+def test_candidates_shuffle_no_forward_pair_and_clear_up(spark, monkeypatch, name):
+    import os
+
+    key, plans, dropped, write = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", {}, [], plan.materialise
+    base = f"{scratch.shared_dir(spark)}/kinlake".removeprefix("file://")
+    before, setting = set(os.listdir(base)) if os.path.isdir(base) else set(), spark.conf.get(key, "false")
+
+    def watched(df, table):
+        plans[table] = df._jdf.queryExecution().executedPlan().toString()
+        dropped.append(spark.conf.get(key))
+        return write(df, table)
+
+    monkeypatch.setattr(plan, "materialise", watched)
+    catalogue.QUERIES[name](spark, DATA)
+    assert all("Exchange" not in plans[x] for x in ("forward", "reverse"))
+    assert dropped == ["true", "true"] and spark.conf.get(key, "false") == setting
+    left = {x.rsplit("-", 1)[0] for x in set(os.listdir(base)) - before}
+    assert "forward" in left and not left & {"vectors", "char-vocabulary", "word-vocabulary", "addr-vocabulary", "dealt"}
+
+
+@pytest.mark.parametrize("by", [None])
+def test_recall_drops_other_candidates_before_the_shuffle(spark, by):
+    """Repeated candidates and links, links without ids; only hits pass an exchange."""
+    c = spark.createDataFrame([(1, 2), (1, 2), (1, 3), (4, 5), (None, 7), (8, 9)], "i bigint, j bigint")
+    t = spark.createDataFrame([(1, 2, "X"), (1, 2, "X"), (4, 5, "Y"), (4, 6, "Y"), (None, 7, "Y")], "i bigint, j bigint, country string")
+    got = metrics.recall(c, t, by)
+    assert sorted(map(tuple, got.collect())) == ([("X", 2, 2, 1.0), ("Y", 3, 1, 0.333333)] if by else [(5, 3, 0.6)])
+    text = got._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi, BuildRight" in text and "BroadcastHashJoin" in text
