@@ -101,7 +101,7 @@ def test_sweep_counts_a_pair_once(spark):
 
 
 #: Queries over the candidates: of what makes these nothing stays behind, and no forward pair is shuffled, not even its ids.
-TIDY = "blocking_recall".split()
+TIDY = "blocking_recall blocking_recall_by_country".split()
 
 
 @pytest.mark.parametrize("name", TIDY)
@@ -125,7 +125,7 @@ def test_candidates_shuffle_no_forward_pair_and_clear_up(spark, monkeypatch, nam
     assert "forward" in left and not left & {"vectors", "char-vocabulary", "word-vocabulary", "addr-vocabulary", "dealt"}
 
 
-@pytest.mark.parametrize("by", [None])
+@pytest.mark.parametrize("by", [None, ["country"]])
 def test_recall_drops_other_candidates_before_the_shuffle(spark, by):
     """Repeated candidates and links, links without ids; only hits pass an exchange."""
     c = spark.createDataFrame([(1, 2), (1, 2), (1, 3), (4, 5), (None, 7), (8, 9)], "i bigint, j bigint")
