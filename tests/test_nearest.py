@@ -101,7 +101,7 @@ def test_sweep_counts_a_pair_once(spark):
 
 
 #: Queries over the candidates: of what makes these nothing stays behind, and no forward pair is shuffled, not even its ids.
-TIDY = "blocking_recall blocking_recall_by_country".split()
+TIDY = "blocking_recall blocking_recall_by_country cap_candidates".split()
 
 
 @pytest.mark.parametrize("name", TIDY)
@@ -134,3 +134,19 @@ def test_recall_drops_other_candidates_before_the_shuffle(spark, by):
     assert sorted(map(tuple, got.collect())) == ([("X", 2, 2, 1.0), ("Y", 3, 1, 0.333333)] if by else [(5, 3, 0.6)])
     text = got._jdf.queryExecution().executedPlan().toString()
     assert "LeftSemi, BuildRight" in text and "BroadcastHashJoin" in text
+
+
+def test_caps_limit_groups_before_the_shuffle(spark):
+    """Equal to ranking all pairs, with ties and either cap the greater."""
+    rng = np.random.default_rng(5)
+    rows = [(int(i), int(j), int(rng.integers(0, 2)), int(rng.integers(0, 8)) / 8) for i in range(6) for j in rng.permutation(40)[: 5 + 7 * i]]
+    p = spark.createDataFrame(rows, "i bigint, j bigint, fwd int, score double")
+    for most, rev in ((10, 3), (2, 6), (5, 5)):
+        want = []
+        for i in range(6):
+            mine = sorted((r for r in rows if r[0] == i), key=lambda r: (-r[3], r[1]))
+            back = [r for r in mine if r[2] == 0]
+            want += [r for r in mine[:most] if r[2] == 1] + back[:rev]
+        got = blocking.cap_candidates(p, most, rev)
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
