@@ -101,7 +101,7 @@ def test_sweep_counts_a_pair_once(spark):
 
 
 #: Queries over the candidates: of what makes these nothing stays behind, and no forward pair is shuffled, not even its ids.
-TIDY = "blocking_recall blocking_recall_by_country cap_candidates cap_blended context_rank_ties".split()
+TIDY = "blocking_recall blocking_recall_by_country cap_candidates cap_blended context_rank_ties competition_features".split()
 
 
 @pytest.mark.parametrize("name", TIDY)
