@@ -101,7 +101,7 @@ def test_sweep_counts_a_pair_once(spark):
 
 
 #: Queries over the candidates: of what makes these nothing stays behind, and no forward pair is shuffled, not even its ids.
-TIDY = "blocking_recall blocking_recall_by_country cap_candidates cap_blended context_rank_ties competition_features".split()
+TIDY = "blocking_recall blocking_recall_by_country cap_candidates cap_blended context_rank_ties competition_features component_match".split()
 
 
 @pytest.mark.parametrize("name", TIDY)
@@ -150,3 +150,8 @@ def test_caps_limit_groups_before_the_shuffle(spark):
         got = blocking.cap_candidates(p, most, rev)
         assert sorted(map(tuple, got.collect())) == sorted(want)
     assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_postal_codes_meet_candidates_without_a_shuffle(spark):
+    text = catalogue.QUERIES["component_match"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(i" not in text and "Exchange hashpartitioning(j" not in text
