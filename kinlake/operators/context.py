@@ -29,8 +29,9 @@ def reverse_context(pairs: DataFrame, scores: Sequence[str] = ("cc", "cm", "ca")
 
 
 def context_ties(pairs: DataFrame) -> DataFrame:
-    """Ranks that ties share."""
-    return pairs.select("i", "j", F.rank().over(Window.partitionBy("i").orderBy(F.desc("cm"))).cast("bigint").alias("rk_cm"), F.rank().over(Window.partitionBy("j").orderBy(F.desc("cm"))).cast("bigint").alias("rev_rk_cm"))
+    """Ranks that ties share. Pairs that have rk_cm (`nearest.ranked`) keep it and are shuffled by the target alone."""
+    own = F.col("rk_cm") if "rk_cm" in pairs.columns else F.rank().over(Window.partitionBy("i").orderBy(F.desc("cm")))
+    return pairs.select("i", "j", own.cast("bigint").alias("rk_cm"), F.rank().over(Window.partitionBy("j").orderBy(F.desc("cm"))).cast("bigint").alias("rev_rk_cm"))
 
 
 def blended_context(pairs: DataFrame) -> DataFrame:

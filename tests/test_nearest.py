@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinlake import catalogue
-from kinlake.operators import blocking, metrics, nearest, vectors
+from kinlake.operators import blocking, context, metrics, nearest, vectors
 from kinlake.plans import candidates as plan
 from kinlake.sources import scratch, views
 
@@ -155,3 +155,77 @@ def test_caps_limit_groups_before_the_shuffle(spark):
 def test_postal_codes_meet_candidates_without_a_shuffle(spark):
     text = catalogue.QUERIES["component_match"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning(i" not in text and "Exchange hashpartitioning(j" not in text
+
+
+@pytest.mark.parametrize("held", [1, 2_000_000])
+def test_frequencies_equal_a_grouped_count(spark, monkeypatch, held):
+    """Repeats, empty and missing features, two groups, sums on the way; of words the shuffle holds nothing."""
+    monkeypatch.setattr(nearest, "HELD", held)
+    rng = np.random.default_rng(3)
+    rows = [(g, n, None if k == 5 else [f"w{x}" for x in rng.integers(0, 40, k % 5 * 3)]) for g, n in (("X", 70), ("Y", 30)) for k in range(n)]
+    r = spark.createDataFrame(rows, "_g string, n bigint, f array<string>")
+    got = nearest._frequencies(r, F.col("f"))
+    want = r.select("n", "_g", F.explode(F.array_distinct("f")).alias("x")).groupBy("n", F.xxhash64("_g", "x").alias("h")).agg(F.count("*").alias("df")).filter("df > 1")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 50
+    text = got._jdf.queryExecution().executedPlan().toString()
+    assert text.index("Exchange") < text.rindex("MapInArrow") and "HashAggregate" not in text
+
+
+def test_hashes_are_squeezed_and_two_features_of_one_hash_are_told():
+    rng = np.random.default_rng(4)
+    h = np.unique(rng.integers(0, 2**63, 20_000, dtype=np.uint64) * np.uint64(2))
+    df, check = np.where(rng.random(len(h)) < 0.1, 300, 1), rng.integers(0, 128, len(h)).astype(np.uint8)
+    data = nearest._squeeze(h, df, check)
+    assert all((a == b).all() for a, b in zip(nearest._expand(data, len(h)), (h, df, check))) and len(data) < 9 * len(h)
+    one = lambda k: (np.array([7], np.uint64), np.array([1]), np.array([k]))
+    assert [x.tolist() for x in nearest._added([one(3), one(3)])] == [[7], [2], [3]]
+    with pytest.raises(RuntimeError, match="two features"):
+        nearest._added([one(3), one(4)])
+
+
+def test_vectors_are_dealt_in_parts(spark, monkeypatch):
+    """The same vectors whatever the number of parts; every part is a write of its own, filtered before features are made."""
+    import os
+
+    monkeypatch.setattr(nearest, "UNIT", 7)
+    e, read = views.entities(spark, DATA), {}
+    for part in (1, 1_000):
+        monkeypatch.setattr(nearest, "PART", part)
+        u = plan.units(e)
+        read[part] = sorted(map(tuple, spark.read.parquet(u.path).collect()))
+        writes = {x.split("-")[-1].split(".")[0] for _, _, names in os.walk(u.path.removeprefix("file://")) for x in names if x.endswith(".parquet")}
+        assert read[part] and len(writes) == (nearest.PARTS if part == 1 else 1)
+    assert read[1] == read[1_000] and len(read[1]) == e.filter("src IS NOT NULL AND country IS NOT NULL").count()
+
+
+def _forward(spark, monkeypatch, name):
+    """What the query's tasks write, and the query."""
+    kept, write = {}, plan.materialise
+
+    def watched(df, table):
+        kept[table] = write(df, table)
+        return kept[table]
+
+    monkeypatch.setattr(plan, "materialise", watched)
+    monkeypatch.setattr(nearest, "UNIT", 7)
+    got = catalogue.QUERIES[name](spark, DATA)
+    return kept["forward"], got
+
+
+def _exchanges(df):
+    return [x for x in df._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange" in x]
+
+
+def test_rank_ties_shuffle_pairs_once(spark, monkeypatch):
+    """The anchors' ranks come from the tasks that have all their pairs; of the scores one is written, as a whole number."""
+    forward, got = _forward(spark, monkeypatch, "context_rank_ties")
+    assert dict(forward.dtypes) == {"i": "bigint", "j": "bigint", "cm": "int", "rk_cm": "int"}
+    assert len(_exchanges(got)) == 1 and "hashpartitioning(j" in _exchanges(got)[0]
+
+
+def test_ranks_in_tasks_are_those_of_a_window(spark):
+    rng = np.random.default_rng(7)
+    rows = [(int(i), int(j), int(rng.integers(0, 6))) for i in range(9) for j in range(5 * i)]
+    p = spark.createDataFrame(rows, "i bigint, j bigint, cm int")
+    want = context.context_ties(p)
+    assert sorted(map(tuple, context.context_ties(nearest.ranked(p.repartition(3, "i"), "i", "cm", "rk_cm")).collect())) == sorted(map(tuple, want.collect()))
