@@ -229,3 +229,12 @@ def test_ranks_in_tasks_are_those_of_a_window(spark):
     p = spark.createDataFrame(rows, "i bigint, j bigint, cm int")
     want = context.context_ties(p)
     assert sorted(map(tuple, context.context_ties(nearest.ranked(p.repartition(3, "i"), "i", "cm", "rk_cm")).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_competition_shuffles_whole_numbers_once(spark, monkeypatch):
+    """Three columns are written and shuffled; their scores are the same doubles afterwards."""
+    forward, got = _forward(spark, monkeypatch, "competition_features")
+    assert dict(forward.dtypes) == {"i": "bigint", "j": "bigint", "m": "int"}
+    assert len(_exchanges(got)) == 1 and "hashpartitioning(j" in _exchanges(got)[0]
+    s = spark.range(1_000_001).select((F.col("id") / 1e6).alias("p")).withColumn("m", plan.millionths("p"))
+    assert s.filter("m / 1e6 <> p").count() == 0
