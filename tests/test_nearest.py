@@ -238,3 +238,9 @@ def test_competition_shuffles_whole_numbers_once(spark, monkeypatch):
     assert len(_exchanges(got)) == 1 and "hashpartitioning(j" in _exchanges(got)[0]
     s = spark.range(1_000_001).select((F.col("id") / 1e6).alias("p")).withColumn("m", plan.millionths("p"))
     assert s.filter("m / 1e6 <> p").count() == 0
+
+
+def test_recall_by_country_writes_links_alone(spark, monkeypatch):
+    """Candidates that are no links end in their tasks, however many links there are."""
+    forward, got = _forward(spark, monkeypatch, "blocking_recall_by_country")
+    assert 0 < forward.count() == sum(r["n_found"] for r in got.collect())
