@@ -245,7 +245,8 @@ def block_cosine_v12_comb(spark, d):
 
 @query(f"""WITH {S.CANDIDATES}, s AS (SELECT i, j, cc AS cn, ca, round(greatest(cc, 0.6::DOUBLE * cc + 0.4::DOUBLE * ca), 6) AS score FROM pairs) SELECT i, j, cn, ca, score FROM ({S.top('s', 'i', 8)})""")
 def cap_blended(spark, d):
-    return blocking.cap_blended(plan.candidates(views.entities(spark, d)).select("i", "j", F.col("cc").alias("cn"), "ca"), 8)
+    best = lambda p: blocking.cap_blended(p.select("i", "j", F.col("cc").alias("cn"), "ca"), 8, True)
+    return plan.candidates(views.entities(spark, d), shape=best)
 
 
 _BLANK = S.RECORDS.replace("upper(lang) AS country", "CASE WHEN doc_id % 10 = 3 THEN '' ELSE upper(lang) END AS country")

@@ -244,3 +244,19 @@ def test_recall_by_country_writes_links_alone(spark, monkeypatch):
     """Candidates that are no links end in their tasks, however many links there are."""
     forward, got = _forward(spark, monkeypatch, "blocking_recall_by_country")
     assert 0 < forward.count() == sum(r["n_found"] for r in got.collect())
+
+
+def test_cap_blended_caps_inside_the_tasks(spark, monkeypatch):
+    forward, got = _forward(spark, monkeypatch, "cap_blended")
+    assert forward.count() == got.count() and forward.groupBy("i").count().agg(F.max("count")).first()[0] == 8
+    assert not _exchanges(got)
+
+
+def test_the_best_of_a_key_are_those_of_a_window(spark):
+    """Ties, keys with fewer rows than places, no rows."""
+    rng = np.random.default_rng(6)
+    rows = [(int(i), int(j), int(rng.integers(0, 5)) / 4) for i in range(6) for j in rng.permutation(30)[: 7 * i]]
+    p = spark.createDataFrame(rows, "i bigint, j bigint, score double").repartition(2, "i")
+    for k in (1, 8):
+        assert sorted(map(tuple, nearest.best_of(p, "i", "score", "j", k).collect())) == sorted(map(tuple, blocking.top_k(p, ["i"], k).select("i", "j", "score").collect()))
+    assert nearest.best_of(p.filter("i > 9"), "i", "score", "j", 2).count() == 0
