@@ -260,3 +260,46 @@ def test_the_best_of_a_key_are_those_of_a_window(spark):
     for k in (1, 8):
         assert sorted(map(tuple, nearest.best_of(p, "i", "score", "j", k).collect())) == sorted(map(tuple, blocking.top_k(p, ["i"], k).select("i", "j", "score").collect()))
     assert nearest.best_of(p.filter("i > 9"), "i", "score", "j", 2).count() == 0
+
+
+def test_lists_hold_every_shared_bit_once():
+    """Copies on both sides, full, empty and odd rows; few rows and many; lists are no longer than LIST."""
+    rng = np.random.default_rng(8)
+    for n, width in ((1, 64), (7, 128), (40, 1024), (64, 4096)):
+        table = rng.random((n, width)) < rng.random((n, 1))
+        table[:, : width // 2] = table[:, rng.integers(0, 1 + width // 64, width // 2)]
+        table[0], table[n // 2, :] = True, n > 1
+        kinds = np.repeat(np.arange(n), rng.integers(1, 4, n))
+        got = []
+        for left, many, right, m in nearest._rectangles(np.packbits(table, axis=1, bitorder="little").view(np.uint64), kinds):
+            assert len(many) == len(m) and m.max(initial=0) <= nearest.LIST
+            a, b = np.cumsum(many) - many, np.cumsum(m) - m
+            got += [(int(x), int(y)) for k in range(len(m)) for x in left[a[k] : a[k] + many[k]] for y in right[b[k] : b[k] + m[k]]]
+        assert sorted(got) == list(zip(*(x.tolist() for x in np.nonzero(table[kinds])), strict=True))
+
+
+def test_sharing_in_small_steps(spark, monkeypatch):
+    """Kinds in several steps, features that only one side has, records without any, equal ones."""
+    for k, v in (("UNIT", 30), ("WIDE", 2), ("BLOCK", 8), ("MAPS", 1), ("LIST", 8), ("LEVELS", ((8, 8),)), ("COMMON", 1)):
+        monkeypatch.setattr(nearest, k, v)
+    rng = np.random.default_rng(9)
+    rows = [(n, n % 3, [] if n % 11 == 0 else [f"w{x}" for x in sorted(set(rng.integers(0, 25, 1 + n % 4).tolist()))] + ["anchors"] * (n % 3 == 0)) for n in range(300)]
+    r = spark.createDataFrame(rows, "id bigint, src int, f array<string>")
+    want = [(a, b) for a, s, f in rows if s == 0 for b, t, g in rows if t and set(f) & set(g)]
+    assert sorted(map(tuple, nearest.sharing(nearest.lay_out(r, [nearest.Channel("f", F.col("f"))])).collect())) == want
+
+
+#: Queries that return all pairs that share a feature, and bytes a pair; in the order of the records block_ngram took 0.95.
+ALL_PAIRS = [("block_ngram", 0.7)]
+
+
+@pytest.mark.parametrize("name, most", ALL_PAIRS)
+def test_all_pairs_take_few_bytes_a_pair(spark, tmp_path, name, most):
+    """Tasks give lists, which become pairs, each once, as they are written."""
+    got = catalogue.QUERIES[name](spark, "/root/testdata/sf0.01")
+    text = got._jdf.queryExecution().executedPlan().toString()
+    assert text.index("Generate explode") < text.index("MapInArrow")
+    got.write.parquet(f"{tmp_path}/out")
+    pairs = spark.read.parquet(f"{tmp_path}/out")
+    assert pairs.count() == pairs.distinct().count() > 100_000
+    assert sum(x.stat().st_size for x in (tmp_path / "out").glob("*.parquet")) < most * pairs.count()
